@@ -1,7 +1,191 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL. The network is that of ``fixture``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.functions.geo import tile_key, tile_xy
+from roadloom.operators import analysis, network
+from roadloom.operators.ways import mode_ways
+from roadloom.plans import fixture
+
 FLAGSHIP = "turns_per_class"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_network(select: str, mode: str = "driving", more: str = "") -> str:
+    return fixture.network_sql(mode) + (f", {more}" if more else "") + " " + select
+
+
+def edges(spark: SparkSession, sf_dir: str, mode: str = "driving") -> DataFrame:
+    return network.build(fixture.raw_nodes(spark, sf_dir), fixture.raw_ways(spark, sf_dir), mode)
+
+
+GRAPH = "labelled AS (SELECT *, CASE WHEN access IN ('private', 'bus', 'pedestrian', 'delivery') THEN access END AS lab FROM edges), graph AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, a.cost_s AS cost, coalesce(a.lab, b.lab, 'car') AS uses FROM labelled a JOIN labelled b ON a.target = b.source AND a.edge_id <> b.edge_id WHERE a.lab IS NULL OR b.lab IS NULL OR a.lab = b.lab)"
+
+
+@query(on_network("SELECT e.highway, count(*) AS n_turns, count(DISTINCT e.edge_id) AS n_edges FROM graph g JOIN edges e ON e.edge_id = g.from_edge WHERE g.uses = 'car' GROUP BY 1", more=GRAPH))
+def turns_per_class(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    g = network.edge_graph(e).where("uses = 'car'")
+    return g.join(e.select(F.col("edge_id").alias("from_edge"), "highway"), "from_edge").groupBy("highway").agg(F.count("*").alias("n_turns"), F.countDistinct("from_edge").alias("n_edges"))
+
+
+@query(on_network("SELECT osm_id, highway, oneway, access, lanes_fwd, lanes_bwd, list_aggregate(refs, 'string_agg', ',') AS refs FROM ways"))
+def n1_driving_ways(spark, sf_dir):
+    return mode_ways(fixture.raw_ways(spark, sf_dir), "driving").select("osm_id", "highway", "oneway", "access", "lanes_fwd", "lanes_bwd", F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"))
+
+
+@query(on_network("SELECT osm_id, highway, oneway, access, lanes_fwd, lanes_bwd, list_aggregate(refs, 'string_agg', ',') AS refs FROM ways", "walking"))
+def n1_walking_ways(spark, sf_dir):
+    return mode_ways(fixture.raw_ways(spark, sf_dir), "walking").select("osm_id", "highway", "oneway", "access", "lanes_fwd", "lanes_bwd", F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"))
+
+
+@query("WITH " + fixture.RAW_SQL + " SELECT node_id, is_road_junction FROM joints")
+def n2_global_junctions(spark, sf_dir):
+    return network.global_junctions(fixture.raw_ways(spark, sf_dir))
+
+
+@query(on_network("SELECT osm_id, seq, source, target, len(refs)::INTEGER AS n_refs FROM segs"))
+def n4_segments(spark, sf_dir):
+    ways = mode_ways(fixture.raw_ways(spark, sf_dir), "driving")
+    joints = network.global_junctions(fixture.raw_ways(spark, sf_dir)).where("is_road_junction")
+    return network.segments(ways, fixture.raw_nodes(spark, sf_dir), joints).select("osm_id", "seq", "source", "target", F.size("refs").alias("n_refs"))
+
+
+_EDGE = "edge_id, osm_id, source, target, highway, oneway, access, lanes, is_reverse, round(length_m::DOUBLE, 1) AS length_m, round(maxspeed_kmh::DOUBLE, 3) AS maxspeed_kmh, round(cost_s::DOUBLE, 2) AS cost_s"
+
+
+def _edge_columns(e: DataFrame) -> DataFrame:
+    r = lambda c, k: F.round(F.col(c).cast("double"), k).alias(c)
+    return e.select("edge_id", "osm_id", "source", "target", "highway", "oneway", "access", "lanes", "is_reverse", r("length_m", 1), r("maxspeed_kmh", 3), r("cost_s", 2))
+
+
+@query(on_network(f"SELECT {_EDGE} FROM edges"))
+def n9_driving_edges(spark, sf_dir):
+    return _edge_columns(edges(spark, sf_dir))
+
+
+@query(on_network(f"SELECT {_EDGE} FROM edges", "walking"))
+def n9_walking_edges(spark, sf_dir):
+    return _edge_columns(edges(spark, sf_dir, "walking"))
+
+
+@query(on_network("SELECT edge_id, osm_id || '#' || dense_rank() OVER (PARTITION BY osm_id ORDER BY seq) || CASE WHEN is_reverse THEN 'r' ELSE 'f' END AS edge_ref FROM edges"))
+def n10_edge_refs(spark, sf_dir):
+    return network.edge_refs(edges(spark, sf_dir))
+
+
+@query(on_network("SELECT from_edge, to_edge, round(cost::DOUBLE, 2) AS cost, uses FROM graph", more=GRAPH))
+def n16_edge_graph(spark, sf_dir):
+    return network.edge_graph(edges(spark, sf_dir)).withColumn("cost", F.round(F.col("cost").cast("double"), 2))
+
+
+_RULES = """rules AS (SELECT node_id AS via_node, ws[1] AS from_way, ws[2] AS to_way, CASE WHEN node_id % 3 = 0 THEN 'only_straight_on' ELSE 'no_left_turn' END AS restriction
+  FROM (SELECT node_id, list(DISTINCT osm_id ORDER BY osm_id) AS ws FROM way_uses GROUP BY 1) WHERE len(ws) > 2),
+on_edges AS (SELECT DISTINCT restriction, a.edge_id AS from_edge, b.edge_id AS rule_edge FROM rules JOIN edges a ON a.osm_id = from_way AND a.target = via_node JOIN edges b ON b.osm_id = to_way AND b.source = via_node)"""
+
+
+@query(on_network("SELECT uses, count(*) AS n FROM graph g WHERE NOT EXISTS (SELECT 1 FROM on_edges r WHERE r.from_edge = g.from_edge AND (r.restriction LIKE 'no\\_%' ESCAPE '\\' AND r.rule_edge = g.to_edge OR r.restriction LIKE 'only\\_%' ESCAPE '\\' AND r.rule_edge <> g.to_edge)) GROUP BY 1", more=GRAPH + ", " + _RULES))
+def n15_allowed_turns(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return network.apply_restrictions(network.edge_graph(e), e, fixture.restrictions(spark, sf_dir)).groupBy("uses").agg(F.count("*").alias("n"))
+
+
+@query(on_network("SELECT highway, count(*) AS n_edges, round(sum(length_m::DOUBLE) / 1000, 3) AS km, count(*) FILTER (WHERE oneway) AS n_oneway FROM edges GROUP BY 1"))
+def a6_network_summary(spark, sf_dir):
+    return analysis.summary(edges(spark, sf_dir))
+
+
+_STREETS = "pairs AS (SELECT source, target, count(*) AS n FROM open_edges GROUP BY ALL), streets AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(n) AS n FROM pairs GROUP BY ALL), per AS (SELECT node_id, sum(n)::BIGINT AS streets FROM (SELECT unnest([a, b]) AS node_id, n FROM streets) GROUP BY 1)"
+
+
+@query(on_network("SELECT streets, count(*) AS n_nodes FROM per GROUP BY 1", more=_STREETS))
+def a10_streets_per_node(spark, sf_dir):
+    return analysis.degree_distribution(network.open_edges(edges(spark, sf_dir)))
+
+
+@query(on_network("SELECT (SELECT count(*) FROM per) AS n_nodes, count(*) AS n_edges, round(sum(length_m::DOUBLE), 1) AS length_m, round(avg(length_m::DOUBLE), 3) AS mean_m, (SELECT sum(n) FROM streets)::BIGINT AS n_streets, round(2 * count(*) / (SELECT count(*) FROM per), 6) AS k_avg FROM open_edges", more=_STREETS))
+def a9_stats(spark, sf_dir):
+    return analysis.stats(network.open_edges(edges(spark, sf_dir)))
+
+
+_BEAR = "bear AS (SELECT (degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360 AS b FROM open_edges), bins AS (SELECT floor((round(b, 6) + 5) / 10)::INTEGER % 36 AS bin, count(*) AS n FROM bear GROUP BY 1)"
+
+
+@query(on_network("SELECT bin, n, round((SELECT sum(-n / t * ln(n / t)) FROM bins, (SELECT sum(n) AS t FROM bins)), 6) AS entropy FROM bins", more=_BEAR))
+def a14_orientation(spark, sf_dir):
+    return analysis.orientation(network.open_edges(edges(spark, sf_dir)))
+
+
+@query(on_network("SELECT min(node) AS component, count(*) AS n_nodes FROM (SELECT node, min(root) AS root FROM closure GROUP BY node) GROUP BY root", more="und AS (SELECT DISTINCT source AS a, target AS b FROM open_edges UNION SELECT target, source FROM open_edges), closure(node, root) AS (SELECT DISTINCT a, a FROM und UNION SELECT u.b, c.root FROM closure c JOIN und u ON u.a = c.node)").replace("WITH ", "WITH RECURSIVE ", 1))
+def g13_weak_components(spark, sf_dir):
+    return analysis.weak_components(network.open_edges(edges(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n_nodes"))
+
+
+@query(on_network(
+    "SELECT origin, count(*) - 1 AS n_reached, round(max(c), 1) AS farthest_s FROM (SELECT origin, node, min(cost) AS c FROM r GROUP BY ALL) GROUP BY 1",
+    more="arcs AS (SELECT source, target, min(cost_s::DOUBLE) AS c FROM open_edges GROUP BY ALL), r(origin, node, cost) AS (SELECT DISTINCT source, source, 0::DOUBLE FROM arcs WHERE source % 50 = 0 UNION SELECT origin, target, min(cost + c) FROM r JOIN arcs ON source = node WHERE cost + c <= 9000 GROUP BY ALL)",
+).replace("WITH ", "WITH RECURSIVE ", 1))
+def g8_accessibility(spark, sf_dir):
+    e = network.open_edges(edges(spark, sf_dir))
+    origins = e.where("source % 50 = 0").select(F.col("source").alias("node_id"))
+    return analysis.accessibility(e, origins, 9000.0).withColumn("farthest_s", F.round("farthest_s", 1))
+
+
+@query("SELECT p_partkey AS osm_id, floor((7 + (p_partkey % 200)::DOUBLE / 1000 + 180) / 360 * 4096)::BIGINT AS x, floor((1 - asinh(tan(radians(43 + (p_partkey // 200)::DOUBLE / 1000))) / pi()) / 2 * 4096)::BIGINT AS y, (12 + list_sum(list_transform(range(12), lambda k: ((((x >> (11 - k)) & 1) + 2 * ((y >> (11 - k)) & 1)) << (60 - 2 * k))::BIGINT)))::BIGINT AS tile FROM part")
+def p15_tile_keys(spark, sf_dir):
+    n = fixture.raw_nodes(spark, sf_dir)
+    x, y = tile_xy(F.col("lon"), F.col("lat"), 12)
+    return n.select("osm_id", x.alias("x"), y.alias("y")).withColumn("tile", tile_key(F.col("x"), F.col("y"), 12))
+
+
+@query("SELECT l_orderkey AS owner, min(k) AS first, max(k) AS last FROM (SELECT *, k - row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS island FROM (SELECT DISTINCT l_orderkey, l_linenumber AS k FROM lineitem)) GROUP BY l_orderkey, island")
+def w8_missing_runs(spark, sf_dir):
+    return analysis.missing_runs(fixture.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("k")))
+
+
+@query("SELECT user_id AS edge_id, time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def a8_time_bins(spark, sf_dir):
+    return analysis.time_bins(fixture.table(spark, sf_dir, "events").select(F.col("user_id").alias("edge_id"), F.col("ts").alias("time"), "value"))
+
+
+@query(on_network("SELECT DISTINCT node FROM (SELECT source AS node FROM d UNION SELECT target FROM d) INTERSECT SELECT node_id FROM w", more="d AS (SELECT * FROM open_edges), w AS (SELECT DISTINCT node_id FROM way_uses WHERE osm_id IN (SELECT osm_id FROM raw_ways WHERE highway = 'footway'))"))
+def u4_shared_nodes(spark, sf_dir):
+    e = network.open_edges(edges(spark, sf_dir))
+    foot = fixture.raw_ways(spark, sf_dir).where("tags['highway'] = 'footway'").select(F.explode("refs").alias("node"))
+    return e.select(F.col("source").alias("node")).union(e.select("target")).intersect(foot)
+
+
+@query("WITH o AS (SELECT p_partkey AS id, p_brand, p_size FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey AS id, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0) SELECT id, CASE WHEN o.p_brand IS NULL THEN 'added' WHEN n.p_brand IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o.p_brand IS NULL OR n.p_brand IS NULL THEN '' ELSE 'p_size' END AS columns FROM o FULL JOIN n USING (id) WHERE o.p_brand IS NULL OR n.p_brand IS NULL OR o.p_size <> n.p_size")
+def j21_difference(spark, sf_dir):
+    p = fixture.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
+    new = p.where("id % 11 <> 0").withColumn("p_size", F.when(F.col("id") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return analysis.difference(p.where("id % 7 <> 0"), new, "id", ["p_brand", "p_size"])
+
+
+@query(on_network("SELECT 'unique_edge_id' AS name, count(*) FILTER (WHERE c > 1) AS bad, count(*) AS total FROM (SELECT edge_id, count(*) AS c FROM edges GROUP BY 1) UNION ALL SELECT 'ends_exist', count(*) FILTER (WHERE osm_id IS NULL), count(*) FROM (SELECT DISTINCT unnest([source, target]) AS node FROM edges) LEFT JOIN raw_nodes ON osm_id = node UNION ALL SELECT 'positive_cost', count(*) FILTER (WHERE cost_s <= 0), count(*) FROM edges"))
+def n29_checks(spark, sf_dir):
+    return analysis.checks(edges(spark, sf_dir), fixture.raw_nodes(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT event_id AS point_id, 7 + (event_id * 37 % 199990)::DOUBLE / 1000000 AS x, 43 + (event_id * 91 % 9000)::DOUBLE / 1000000 AS y FROM events WHERE event_id % 20 = 0),
+n AS (SELECT p_partkey AS node_id, 7 + (p_partkey % 200)::DOUBLE / 1000 AS lon, 43 + (p_partkey // 200)::DOUBLE / 1000 AS lat FROM part),
+d AS (SELECT point_id, node_id, round(12742000.0 * asin(sqrt(pow(sin((radians(lat) - radians(y)) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2))), 3) AS distance_m FROM p JOIN n ON abs(lon - x) < 0.003 AND abs(lat - y) < 0.003)
+SELECT point_id, arg_min(node_id, (distance_m, node_id)) AS node_id, min(distance_m) AS distance_m FROM d GROUP BY 1""")
+def j17_nearest_nodes(spark, sf_dir):
+    e = fixture.table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    points = e.select(F.col("event_id").alias("point_id"), (7 + (F.col("event_id") * 37 % 199990) / 1000000.0).alias("x"), (43 + (F.col("event_id") * 91 % 9000) / 1000000.0).alias("y"))
+    return analysis.nearest(points, fixture.raw_nodes(spark, sf_dir))
