@@ -41,3 +41,43 @@ def tile_key(x: Column, y: Column, zoom: int) -> Column:
         digit = F.shiftright(x, bit).bitwiseAND(1) + 2 * F.shiftright(y, bit).bitwiseAND(1)
         key = key + F.shiftleft(digit.cast("long"), 60 - 2 * k)
     return key
+
+
+def _between(a: Column, b: Column, share: Column) -> Column:
+    return F.struct((a["lon"] + (b["lon"] - a["lon"]) * share).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * share).alias("lat"))
+
+
+def _offsets(line: Column) -> Column:
+    """Planar length from the start to each point, in degrees."""
+    step = lambda i: F.hypot(F.get(line, i)["lon"] - F.get(line, i - 1)["lon"], F.get(line, i)["lat"] - F.get(line, i - 1)["lat"])
+    steps = F.transform(F.sequence(F.lit(1), F.size(line) - 1), step)
+    return F.aggregate(steps, F.array(F.lit(0.0)), lambda s, d: F.concat(s, F.array(F.element_at(s, -1) + d)))
+
+
+def halves(line: Column) -> Column:
+    """A line cut in the middle of its planar length: a struct of the lines ``first`` and ``second``, which share a point."""
+
+    def cut(at: Column) -> Column:
+        half = F.element_at(at, -1) / 2
+        k = F.greatest(F.size(F.filter(at, lambda d: d < half)), F.lit(1))  # the middle is between points k-1 and k
+        width = F.get(at, k) - F.get(at, k - 1)
+        share = F.when(width > 0, (half - F.get(at, k - 1)) / width).otherwise(0.0)
+        point = F.array(_between(F.get(line, k - 1), F.get(line, k), share))
+        return F.struct(F.concat(F.slice(line, F.lit(1), k), point).alias("first"), F.concat(point, F.slice(line, k + 1, F.size(line) - k)).alias("second"))
+
+    return F.get(F.transform(F.array(_offsets(line)), cut), F.lit(0))
+
+
+def turn_angle(before: Column, after: Column) -> Column:
+    """Degrees in [-180, 180) from one bearing to another; left is positive."""
+    return F.pmod(before - after + 180, F.lit(360.0)) - 180
+
+
+def project(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """The point of the segment a-b nearest to (x, y), in a local metric: a struct of distance_m, share, lon, lat."""
+    east = 111_320.0 * F.cos(F.radians(y))
+    ax, ay = (a["lon"] - x) * east, (a["lat"] - y) * 110_540.0
+    dx, dy = (b["lon"] - a["lon"]) * east, (b["lat"] - a["lat"]) * 110_540.0
+    square = dx * dx + dy * dy
+    share = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / square))).otherwise(0.0)
+    return F.struct(F.hypot(ax + dx * share, ay + dy * share).alias("distance_m"), share.alias("share"), (a["lon"] + (b["lon"] - a["lon"]) * share).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * share).alias("lat"))

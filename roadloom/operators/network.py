@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from roadloom.functions.geo import line_length
 from roadloom.functions.hashing import with_edge_id
 from roadloom.functions.tags import is_in, spread, tag
+from roadloom.operators.splits import split_all
 from roadloom.operators.ways import NO_CARS, TAGS, mode_ways, shared_street
 
 # km/h by class.
@@ -63,10 +64,20 @@ def cost_seconds() -> Column:
     return ((km / kmh).cast("float") * F.lit(3600).cast("float")).cast("float")
 
 
-def directed_edges(segs: DataFrame, ways: DataFrame, mode: str) -> DataFrame:
-    """Two edges for a two-way segment, one for a one-way; of equal (osm_id, source, target) the shortest. Loops are left out."""
-    x = segs.where("source <> target").withColumn("length_m", line_length(F.col("geometry")).cast("float"))
-    x = x.join(ways.drop("refs"), "osm_id").withColumn("maxspeed_kmh", speed(mode)).withColumn("cost_s", cost_seconds())
+def forward_arcs(segs: DataFrame, ways: DataFrame) -> DataFrame:
+    """Segments with their length and the attributes of their ways."""
+    return segs.withColumn("length_m", line_length(F.col("geometry")).cast("float")).join(ways.drop("refs"), "osm_id")
+
+
+def directed_edges(segs: DataFrame, ways: DataFrame, mode: str, split: bool = False) -> DataFrame:
+    """Two edges for a two-way segment, one for a one-way.
+
+    With ``split``, loops and parallel arcs are cut in two at virtual nodes; else loops are left out, and of equal
+    (osm_id, source, target) the shortest stays.
+    """
+    x = forward_arcs(segs, ways)
+    x = split_all(x) if split else x.where("source <> target")
+    x = x.withColumn("maxspeed_kmh", speed(mode)).withColumn("cost_s", cost_seconds())
     side = F.when(F.col("oneway"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     x = x.withColumn("is_reverse", F.explode(side))
     pick = lambda a, b: F.when(F.col("is_reverse"), b).otherwise(a)
@@ -80,13 +91,13 @@ def directed_edges(segs: DataFrame, ways: DataFrame, mode: str) -> DataFrame:
     return with_edge_id(x)
 
 
-def build(raw_nodes: DataFrame, raw_ways: DataFrame, mode: str) -> DataFrame:
-    """The edges of a mode, restricted ones included (``access`` private, bus, pedestrian)."""
+def build(raw_nodes: DataFrame, raw_ways: DataFrame, mode: str, split: bool = False) -> DataFrame:
+    """The edges of a mode, restricted ones included (``access`` private, bus, pedestrian); ``split`` as in ``directed_edges``."""
     ways = mode_ways(raw_ways, mode)
     joints = global_junctions(raw_ways)
     if mode == "driving":
         joints = joints.where("is_road_junction")
-    return directed_edges(segments(ways, raw_nodes, joints), ways, mode)
+    return directed_edges(segments(ways, raw_nodes, joints), ways, mode, split)
 
 
 RESTRICTED = ("private", "bus", "pedestrian", "delivery")
@@ -121,3 +132,15 @@ def apply_restrictions(graph: DataFrame, edges: DataFrame, relations: DataFrame)
     only = turns.join(rule.where(F.col("restriction").startswith("only_")), "from_edge").where("to_edge <> rule_edge")
     banned = no.select("from_edge", "to_edge").union(only.select("from_edge", "to_edge")).distinct()
     return graph.join(banned, ["from_edge", "to_edge"], "left_anti")
+
+
+def local_junctions(ways: DataFrame) -> DataFrame:
+    """node_id of the nodes that a mode's ways share or end at, without regard to other modes."""
+    at = ways.select(F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "node_id"))
+    end = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)
+    return at.groupBy("node_id").agg(F.count("*").alias("uses"), F.count_if(end).alias("ends")).where("uses > 1 or ends > 0").select("node_id")
+
+
+def private_split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges open to all, and those with a restricted label."""
+    return open_edges(edges), edges.where(is_in(F.col("access"), RESTRICTED))
