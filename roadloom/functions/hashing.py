@@ -2,45 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FACTOR = 0xD6E8FEB86659FD93  # fixed value: ids must be the same everywhere
 
 
-def _let(x: Column, f) -> Column:
-    """f(x) with x evaluated once, so that nested steps do not multiply the expression."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+def _let(x: str, f: str) -> str:
+    """``f``, an expression of v, with v = x evaluated once, so that nested steps do not multiply the expression."""
+    return f"get(transform(array({x}), v -> {f}), 0)"
+
+
+def _limb(x: str, k: int) -> str:
+    return f"(shiftrightunsigned({x}, {16 * k}) & 65535L)"
 
 
-def _product(x: Column) -> Column:
-    """x times FACTOR modulo 2^64 from 16-bit limbs, so nothing overflows."""
-    limb = lambda k: F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
+def _product() -> str:
+    """v times FACTOR modulo 2^64 from 16-bit limbs, so nothing overflows. Sums carry over from limb to limb."""
     c = [FACTOR >> 16 * k & 0xFFFF for k in range(4)]
-    total, out = None, F.lit(0).cast("long")
-    for k in range(4):
-        column = reduce(add, (limb(j) * F.lit(c[k - j]).cast("long") for j in range(k + 1)))
-        total = column if total is None else column + F.shiftrightunsigned(total, 16)
-        out = out.bitwiseOR(F.shiftleft(total.bitwiseAND(F.lit(0xFFFF).cast("long")), 16 * k))
-    return out
+    column = [" + ".join(f"{_limb('v', j)} * {c[k - j]}L" for j in range(k + 1)) for k in range(4)]
+    steps = f"array({', '.join(column)})"
+    carried = f"aggregate({steps}, named_struct('carry', 0L, 'limbs', array(0L)), (s, x) -> named_struct('carry', shiftrightunsigned(s.carry + x, 16), 'limbs', array_append(s.limbs, (s.carry + x) & 65535L))).limbs"
+    joined = " | ".join(f"shiftleft(get(v, {k + 1}), {16 * k})" for k in range(4))
+    return _let(carried, joined)
 
 
-def _fold(x: Column) -> Column:
-    return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 32)))
+def _fold(x: str) -> str:
+    return _let(x, "v ^ shiftrightunsigned(v, 32)")
 
 
-def hash_longs(*columns: Column) -> Column:
-    """A hash of long columns: each is mixed by two products, and joined to the hash so far by another."""
+def hash_sql(*names: str) -> str:
+    """A hash of long columns: each is mixed by two products, and joined to the hash so far by another.
+
+    Written as SQL text, which the session parses at once; building it call by call takes longer than running it.
+    """
     h = None
-    for c in columns:
-        x = _fold(_let(_fold(_let(_fold(c.cast("long")), _product)), _product))
-        h = x if h is None else _let(_fold(h), _product).bitwiseXOR(x)
+    for name in names:
+        x = _fold(_let(_fold(_let(_fold(f"cast({name} as bigint)"), _product())), _product()))
+        h = x if h is None else f"({_let(_fold(h), _product())} ^ {x})"
     return h
 
 
+def hash_longs(*names: str) -> Column:
+    return F.expr(hash_sql(*names))
+
+
 def with_edge_id(df: DataFrame, out: str = "edge_id") -> DataFrame:
     """63-bit ids of (osm_id, source, target)."""
-    return df.withColumn(out, F.shiftrightunsigned(hash_longs(F.col("osm_id"), F.col("source"), F.col("target")), 1))
+    return df.withColumn(out, F.shiftrightunsigned(hash_longs("osm_id", "source", "target"), 1))

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from roadloom.functions.hashing import hash_longs
 from roadloom.operators.analysis import missing_runs
 from roadloom.operators.components import components
@@ -28,7 +26,7 @@ def test_against_the_drawing(spark):
 
 
 def test_hash_vectors(spark):
-    x = spark.createDataFrame([(1, 2, 3), (123456789, 987654321, -555)], "a long, b long, c long").select(hash_longs(F.col("a"), F.col("b"), F.col("c")).alias("h"))
+    x = spark.createDataFrame([(1, 2, 3), (123456789, 987654321, -555)], "a long, b long, c long").select(hash_longs("a", "b", "c").alias("h"))
     assert [r.h % 2**64 for r in x.collect()] == [12722334483198565868, 11030431678157071902]
 
 
