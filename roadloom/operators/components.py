@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.staging import staged
+from roadloom.staging import python_ready, staged
 
 MOST_ROUNDS = 60
+#: Edges that are joined to trees at once in a task's memory.
+BLOCK = 1 << 16
+
+
+def trees(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Each node's smallest connected node, for nodes other than those."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        end = x
+        while end in up:
+            end = up[end]
+        while x != end:
+            up[x], x = end, up[x]
+        return end
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, block by block, as stars."""
+
+    def stars(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        found = trees(edges)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["u", "v"])
+
+    held: list[tuple[int, int]] = []
+    for b in batches:
+        held.extend(zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True))
+        if len(held) >= BLOCK:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
+
+
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node at most, and none if a larger one has an edge to it."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or ups > 0 and n > ups").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b; long); the root is the smallest node of the component.
 
-    A large-star step links a node's larger neighbours to its smallest one, a small-star step its smaller ones; rounds
-    grow with the logarithm of the longest path. Minima are partial aggregates, so a hub's edges are not gathered in a task.
+    First each block of edges becomes stars in its task. Then a large-star step links a node's larger neighbours to its
+    smallest one, a small-star step its smaller ones; rounds grow with the logarithm of the longest path, and end once
+    all is stars. Minima are partial aggregates, so a hub's edges are not gathered in a task.
     """
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    seen = None
+    python_ready(edges.sparkSession)
+    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "star")
+    blocks = e.repartition(e.count() // BLOCK + 1)
+    e = staged(blocks.mapInArrow(_contracted, "u long, v long").distinct(), "star")
     for _ in range(MOST_ROUNDS):
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _all_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
