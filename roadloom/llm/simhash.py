@@ -147,7 +147,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     g = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(g.alias("g"), "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_edges, "a long, b long").distinct()
+    return rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_edges, "a long, b long")
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
