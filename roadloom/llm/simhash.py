@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators.components import components
 from roadloom.llm.golay import LENGTH, codeword_indices
-from roadloom.staging import python_ready, staged
+from roadloom.staging import python_ready, staged, within_bound
 
 SHINGLE = 3
 SEED = 42
@@ -177,7 +177,8 @@ def fingerprint_hex(fp: Column) -> Column:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id (a null one only if there is no other); of equal such rows, one.
 
-    Rows are told apart by id and text, and only those that go are joined with the whole texts.
+    Rows are told apart by id and text, and only those that go are joined with the whole texts: they are broadcast if
+    they are few, by their count, and else the texts are shuffled once.
     """
     x, names = _named(docs)
     y = staged(x.join(names, x["fp"] == names["named"]).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h").alias("me")), "members")
@@ -190,7 +191,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def same(t: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(t["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(t["gone_h"])
 
-    out = docs.join(gone, same(gone), "left_anti")
+    few = F.broadcast(gone) if within_bound(gone) else gone
+    out = docs.join(few, same(few), "left_anti")
     if again.isEmpty():
         return out
     more = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
