@@ -17,7 +17,7 @@ def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"), F.min("l_quantity").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"), F.min("l_quantity").alias("q"))
     x = lines.where(F.size("s") > 1).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     prio, cust, q = F.col("o_orderpriority"), F.col("o_custkey"), F.col("q").cast("int")
     highway = (
