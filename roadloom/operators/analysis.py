@@ -58,21 +58,29 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("source").alias("a"), F.col("target").alias("b"))).select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
-def reach(edges: DataFrame, origins: DataFrame, limit_s: float, rounds: int = 64) -> DataFrame:
-    """origin, node_id, cost_s of the cheapest path within the limit: relaxation from a frontier, a staged round at a time."""
+def reach(edges: DataFrame, origins: DataFrame, limit_s: float, several: int = 8) -> DataFrame:
+    """origin, node_id, cost_s of the cheapest path within the limit: relaxation from a frontier until nothing gets cheaper.
+
+    Costs are not negative, so it ends, however many arcs the paths have. The first ``several`` staged rounds relax once;
+    paths longer than that take ``several`` relaxations a round, in which each node also keeps its own cost.
+    """
     arcs = staged(edges.groupBy("source", "target").agg(F.min(F.col("cost_s").cast("double")).alias("c")), "arcs")
+    stay = arcs.select(F.explode(F.array("source", "target")).alias("source")).distinct().select("source", F.col("source").alias("target"), F.lit(0.0).alias("c"))
+    or_stay = None
     best = staged(origins.select(F.col("node_id").alias("origin"), "node_id", F.lit(0.0).alias("cost_s")).distinct(), "reach")
-    frontier = best
-    for _ in range(rounds):
-        new = frontier.join(arcs, frontier["node_id"] == arcs["source"]).select("origin", F.col("target").alias("node_id"), (F.col("cost_s") + F.col("c")).alias("cost_s")).where(F.col("cost_s") <= limit_s)
-        new = new.groupBy("origin", "node_id").agg(F.min("cost_s").alias("new_s"))
-        known = best.join(new, ["origin", "node_id"], "full")
-        known = staged(known.select("origin", "node_id", F.least("cost_s", "new_s").alias("cost_s"), (F.col("cost_s").isNull() | (F.col("new_s") < F.col("cost_s"))).alias("fresh")), "reach")
-        best = known.drop("fresh")
-        frontier = known.where("fresh").drop("fresh")
-        if frontier.isEmpty():
-            return best
-    raise RuntimeError("paths have more arcs than rounds")
+    new, done = best, 0
+    while not new.isEmpty():
+        if done == several:
+            or_stay = staged(arcs.unionByName(stay), "arcs")
+        for _ in range(1 if or_stay is None else several):
+            by = arcs if or_stay is None else or_stay
+            new = new.join(by, new["node_id"] == by["source"]).select("origin", F.col("target").alias("node_id"), (F.col("cost_s") + F.col("c")).alias("cost_s")).where(F.col("cost_s") <= limit_s)
+            new = new.groupBy("origin", "node_id").agg(F.min("cost_s").alias("cost_s"))
+        known = best.join(new.withColumnRenamed("cost_s", "new_s"), ["origin", "node_id"], "full")
+        known = staged(known.select("origin", "node_id", F.least("cost_s", "new_s").alias("cost_s"), F.coalesce(F.col("new_s") < F.col("cost_s"), F.col("cost_s").isNull()).alias("fresh")), "reach")
+        best, new = known.drop("fresh"), known.where("fresh").drop("fresh")
+        done += 1
+    return best
 
 
 def accessibility(edges: DataFrame, origins: DataFrame, limit_s: float) -> DataFrame:

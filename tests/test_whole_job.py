@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from roadloom.operators import analysis
 from roadloom.plans import fixture
 
 SMALL = "/root/testdata/sf0.001"
@@ -12,3 +13,12 @@ def test_all_orders_are_ways(spark, tmp_path):
     lines = fixture.table(spark, SMALL, "lineitem").groupBy("l_orderkey").count().where("count > 1")
     ways = fixture.raw_ways(spark, SMALL)
     assert ways.count() == lines.count() and ways.agg(F.sum(F.size("refs"))).first()[0] == lines.agg(F.sum("count")).first()[0]
+
+
+def test_reach_has_no_bound_on_arcs(spark):
+    line = [(k, k + 1, 1.0) for k in range(90)]
+    edges = spark.createDataFrame([*line, (0, 80, 79.5), (0, 3, 9.0), (5, 200, 0.5), (300, 0, 1.0)], "source long, target long, cost_s float")
+    got = {(r.origin, r.node_id): r.cost_s for r in analysis.reach(edges, spark.createDataFrame([(0,), (300,)], "node_id long"), 88.0).collect()}
+    want = {(0, k): float(k) if k < 80 else k - 0.5 for k in range(89)} | {(0, 200): 5.5, (300, 300): 0.0}
+    want |= {(300, k): c + 1 for (o, k), c in want.items() if o == 0 and c + 1 <= 88}
+    assert got == want
