@@ -1,3 +1,5 @@
+from math import asin, cos, radians, sin, sqrt
+
 from pyspark.sql import functions as F
 
 from roadloom.operators import analysis
@@ -22,3 +24,18 @@ def test_reach_has_no_bound_on_arcs(spark):
     want = {(0, k): float(k) if k < 80 else k - 0.5 for k in range(89)} | {(0, 200): 5.5, (300, 300): 0.0}
     want |= {(300, k): c + 1 for (o, k), c in want.items() if o == 0 and c + 1 <= 88}
     assert got == want
+
+
+def test_nearest_has_no_window(spark):
+    nodes = [(k, 7 + k * 0.001, 43.0) for k in range(3)] + [(10, 7.0, 43.0039), (11, 8.5, 60.0), (12, 179.9995, 10.0), (13, -179.9, 10.0)]
+    points = [(1, 7.0001, 43.0), (2, 7.0, 43.1), (3, -120.0, -30.0), (4, 8.0, 59.0), (5, 7.0039, 43.0019), (6, 7.0, 43.00195), (8, -179.9995, 10.0), (9, 100.0, 80.0), (7, None, 43.0)]
+
+    def away(a, b):
+        x, y, lon, lat = map(radians, (*a, *b))
+        return round(12742000.0 * asin(sqrt(sin((lat - y) / 2) ** 2 + cos(y) * cos(lat) * sin((lon - x) / 2) ** 2)), 3)
+
+    got = analysis.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(nodes, "osm_id long, lon double, lat double"))
+    want = {p: min((away((x, y), (lon, lat)), k) for k, lon, lat in nodes) for p, x, y in points if x is not None}
+    found = {r.point_id: (r.distance_m, r.node_id) for r in got.collect()}
+    assert {p: k for p, (_, k) in found.items()} == {p: k for p, (_, k) in want.items()} and all(abs(found[p][0] - want[p][0]) < 0.01 for p in want)
+    assert analysis.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame([], "osm_id long, lon double, lat double")).count() == 0
