@@ -1,15 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over a span of tokens; tokens at its ignored positions may differ. Each benchmark item gives a
-hash for each seed and position; a document's positions whose kept tokens all occur in the benchmark are hashed the same
-way and joined with them. Around each hit the item is laid on the document along the diagonal, and the overlap counts if
-some ``STRETCH`` tokens in a row agree in at least ``AGREE`` of them (the whole item if it is shorter). Substituted
-tokens are thus tolerated.
+hash for each seed of its window and each position; a document's positions whose kept tokens all occur in the benchmark
+are hashed the same way and joined with them. Around each hit the item is laid on the document along the diagonal, and
+the overlap counts if some ``STRETCH`` tokens in a row agree in at least ``AGREE`` of them (the whole item if it is
+shorter). Substituted tokens are thus tolerated. Items of fewer than ``LEAST`` tokens must agree in all.
+
+No overlap that counts is missed: a window is ``STRETCH`` tokens or the shorter item, and the seeds of each window leave
+none of the substitutions that it may have without a hit. Documents are looked at only around places where enough tokens
+and pairs of tokens of a window occur in the benchmark, which each overlap needs.
 
 The benchmark is sent to the executors in parts of at most ``PART_TOKENS`` tokens, one scan of the documents for each
 part, so what is broadcast is bounded whatever the size of the benchmark; the documents are never shuffled.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``LEAST`` tokens are left out; equal documents or
+Defined cases: null and empty texts match nothing; items without a token are left out; equal documents or
 items give a row each; an empty table on either side gives an empty result; extra columns are left out by the report and
 kept by the filter.
 """
@@ -28,13 +32,30 @@ from xxhash import xxh64_intdigest
 
 from roadloom.staging import python_ready
 
-# The seeds. Each keeps 7 or 8 of up to 12 tokens.
-SEEDS = ("11111111", "110110110111", "1101011001101", "101101110011")
+# The seeds of each window, found by search; a shorter window has itself as its seed.
+SEEDS_OF = {
+    8: ("111011", "11111"),
+    9: ("111011",),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("111011", "11111"),
+    13: ("11101011", "11001111"),
+}
+SEEDS = tuple(sorted({s for seeds in SEEDS_OF.values() for s in seeds}))
 STRETCH = 13
 AGREE = 0.8
 LEAST = 8
 PART_TOKENS = 2_000_000
 
+
+def needed(window: int) -> int:
+    """How many tokens of a window must agree."""
+    return window if window < LEAST else int(np.ceil(AGREE * window - 1e-9))
+
+
+def seeds_of(window: int) -> tuple[str, ...]:
+    return SEEDS_OF.get(window) or ("1" * window,)
+
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _MEMO = 300_000
 
@@ -62,36 +83,48 @@ class Index:
     """Seeds of benchmark items [(item_id, tokens)], sorted by hash."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
-        items = [(k, t) for k, t in items if len(t) >= LEAST]
+        items = [(k, t) for k, t in items if t]
         self.ids = [k for k, _ in items]
         self.words = {w: i for i, w in enumerate(sorted({w for _, t in items for w in t}))}
         self.numbers = _Codes(self.words)
         self.items = [np.array([self.words[w] for w in t], np.int32) for _, t in items]
         self.codes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in self.words], np.uint64)
-        self.offsets = [np.flatnonzero(np.array(list(s)) == "1") for s in SEEDS]
-        self.window = min([STRETCH, *map(len, self.items)])
-        self.least = int(np.ceil(AGREE * self.window - 1e-9))
+        self.windows = sorted({min(STRETCH, len(t)) for t in self.items})
         n = len(self.words)
         self.pairs = np.unique(np.concatenate([t[:-1].astype(np.int64) * n + t[1:] for t in self.items])) if self.items else np.zeros(1, np.int64)
-        self.tables = []
-        for o in self.offsets:
-            h, item, at = [], [], []
-            for k, t in enumerate(self.items):
+        self.tables = {w: [self._table(w, np.flatnonzero(np.array(list(x)) == "1")) for x in seeds_of(w)] for w in self.windows}
+
+    def _table(self, window: int, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The offsets of a seed; hash, item and position of the items with that window, sorted by hash."""
+        h, item, at = [], [], []
+        for k, t in enumerate(self.items):
+            if min(STRETCH, len(t)) == window:
                 n = len(t) - o[-1]
-                if n > 0:
-                    h.append(self.hashes(t, np.arange(n), o))
-                    item.append(np.full(n, k))
-                    at.append(np.arange(n))
-            none = np.zeros(0, np.int64)
-            h, item, at = (np.concatenate(x) if x else none for x in (h, item, at))
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order].astype(np.uint64), item[order], at[order]))
+                h.append(self.hashes(t, np.arange(n), o))
+                item.append(np.full(n, k))
+                at.append(np.arange(n))
+        h, item, at = map(np.concatenate, (h, item, at))
+        order = np.argsort(h, kind="stable")
+        return o, h[order].astype(np.uint64), item[order], at[order]
 
     @staticmethod
-    def _dense(good: np.ndarray, window: int, least: int) -> bool:
-        """Whether some ``window`` places in a row hold at least ``least`` good ones."""
+    def _dense(good: np.ndarray, window: int, least: int) -> np.ndarray:
+        """The first places of the windows that hold at least ``least`` good places."""
         upto = np.r_[0, np.cumsum(good)]
-        return bool((upto[window:] - upto[:-window]).max() >= least) if len(good) >= window else False
+        return np.flatnonzero(upto[window:] - upto[:-window] >= least) if len(good) >= window else np.zeros(0, np.int64)
+
+    def _places(self, known: np.ndarray, paired: np.ndarray, window: int) -> np.ndarray | None:
+        """Which tokens lie in windows with enough known tokens and pairs; None if there are none."""
+        starts = self._dense(known, window, needed(window))
+        if len(starts) and window > 1:
+            broken = 2 * (window - needed(window))  # a token that differs breaks two pairs
+            starts = np.intersect1d(starts, self._dense(paired, window - 1, window - 1 - broken), assume_unique=True)
+        if not len(starts):
+            return None
+        change = np.zeros(len(known) + 1, np.int64)
+        change[starts] += 1
+        change[starts + window] -= 1
+        return np.cumsum(change[:-1]) > 0
 
     def hashes(self, ids: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
@@ -103,33 +136,38 @@ class Index:
         """(item, first token, end, agreeing tokens) of the best overlap with each item that counts."""
         ids = np.array(list(map(self.numbers.__getitem__, text.lower().split())), np.int32) if text else np.zeros(0, np.int32)
         ids = ids[ids != -2]
-        if len(ids) < LEAST or not self.ids:
+        if not len(ids) or not self.ids:
             return []
         known = ids >= 0
-        if not self._dense(known, self.window, self.least):
-            return []
-        pairs = np.where(known[:-1] & known[1:], ids[:-1].astype(np.int64) * len(self.words) + ids[1:], -1)
-        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        broken = 2 * (self.window - self.least)  # a token that differs breaks two pairs
-        if not self._dense(self.pairs[at] == pairs, self.window - 1, self.window - 1 - broken):
+        windows = [w for w in self.windows if len(self._dense(known, w, needed(w)))]
+        if not windows:
             return []
+        paired = np.zeros(len(ids) - 1, bool)
+        if len(self.pairs):
+            pairs = np.where(known[:-1] & known[1:], ids[:-1].astype(np.int64) * len(self.words) + ids[1:], -1)
+            paired = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] == pairs
         hits = []
-        for o, (table, item, at) in zip(self.offsets, self.tables, strict=True):
-            n = len(ids) - o[-1]
-            if n <= 0 or not len(table):
-                continue
-            ok = known[:n].copy()
-            for k in o[1:]:
-                ok &= known[k : k + n]
-            pos = np.flatnonzero(ok)
-            if not len(pos):
+        for w in windows:
+            inside = self._places(known, paired, w)
+            if inside is None:
                 continue
-            h = self.hashes(ids, pos, o)
-            lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            count = hi - lo
-            if count.any():
-                rows = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                hits.append(np.stack([item[rows], np.repeat(pos, count) - at[rows]], 1))
+            inside &= known
+            for o, table, item, at in self.tables[w]:
+                n = len(ids) - o[-1]
+                if n <= 0:
+                    continue
+                ok = inside[:n].copy()
+                for k in o[1:]:
+                    ok &= inside[k : k + n]
+                pos = np.flatnonzero(ok)
+                if not len(pos):
+                    continue
+                h = self.hashes(ids, pos, o)
+                lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+                count = hi - lo
+                if count.any():
+                    rows = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    hits.append(np.stack([item[rows], np.repeat(pos, count) - at[rows]], 1))
         best: dict[int, tuple[int, int, int]] = {}
         for k, diagonal in np.unique(np.concatenate(hits), axis=0).tolist() if hits else []:
             t = self.items[k]
@@ -138,7 +176,7 @@ class Index:
             if b - a < long:
                 continue
             same = np.r_[0, np.cumsum(ids[a:b] == t[a - diagonal : b - diagonal])]
-            good = np.flatnonzero(same[long:] - same[:-long] >= AGREE * long - 1e-9)
+            good = np.flatnonzero(same[long:] - same[:-long] >= needed(long))
             if len(good):
                 first, end = int(good[0]), int(good[-1]) + long
                 agree = int(same[end] - same[first])
