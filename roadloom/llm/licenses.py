@@ -1,10 +1,11 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; a template is a license notice as a set of words. A block matches if it holds at least
-``CONTAINMENT`` of the template's words. Words are ordered globally by their document frequency, counted over all rows,
+A template is a license notice as a set of words; it matches where a window of consecutive words of a text, as long as
+the notice and a ninth more, whatever its line breaks, holds at least ``CONTAINMENT`` of the template's words. Texts are
+dealt to blocks of two of the longest windows, which overlap by one, so each window lies in a block. Words are ordered globally by their document frequency, counted over all rows,
 rarest first. A block that meets the threshold must hold one of a template's first (size - needed + 1) words, so only
 blocks that share such a prefix word are joined; then the block must be long enough, and the shared word's positions
-in both orders must leave room for the words needed; the rest is verified exactly. Base phrases go through the same
+in both orders must leave room for the words needed; the rest is verified exactly, window by window. Base phrases go through the same
 join with whole texts as blocks and all words needed; an exact check then counts the places where the words stand
 consecutively.
 
@@ -50,6 +51,11 @@ def needed(words: int, containment: float = CONTAINMENT) -> int:
     return ceil(containment * words - 1e-9)
 
 
+def window(template: str, containment: float = CONTAINMENT) -> int:
+    """Words in the windows of a template: its own with some others between them."""
+    return ceil(len(template.split()) / containment - 1e-9)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased. The two other characters whose lower case holds an ASCII letter are put out of the way first."""
     return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ue000")), F.lit("\u0130"), F.lit("\ue000")))
@@ -72,9 +78,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     may = F.lit(False)
     for ws in sets.values():
         may = may | (F.size(F.array_intersect("toks", _literal(ws))) >= needed(len(ws), containment))
-    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.cast("int").alias("line"), F.array_intersect(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), vocab).alias("toks")))
+    step = max(window(t, containment) for t in templates.values())
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / step).cast("int") - 2, F.lit(0))), lambda i: F.slice("words", i * step + 1, F.lit(2 * step)))
+    spans = F.transform(spans, lambda ws: F.struct(ws.alias("words"), F.array_intersect(ws, vocab).alias("toks")))
     fewest = min(needed(len(ws), containment) for ws in sets.values())
-    blocks = F.when(may, F.filter(lines, lambda b: F.size(b["toks"]) >= fewest))
+    blocks = F.when(may, F.filter(spans, lambda b: F.size(b["toks"]) >= fewest))
 
     def places(words: list[str]) -> Column:
         whole = F.size(F.array_intersect("toks", _literal(words))) == len(set(words))
@@ -92,21 +100,25 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         for k, (label, ws) in enumerate(table.items()):
             ws = sorted(ws, key=rank.get)
             need = len(ws) if base else needed(len(ws), containment)
-            index += [(w, i, label, k if base else -1, ws, need) for i, w in enumerate(ws[: len(ws) - need + 1])]
-    shape = T.StructType([T.StructField("word", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("phrase", T.IntegerType()), T.StructField("t", T.ArrayType(T.StringType())), T.StructField("need", T.IntegerType())])
-    rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(k).alias("phrase"), _literal(ws).alias("t"), F.lit(need).alias("need")) for w, i, label, k, ws, need in index]).cast(T.ArrayType(shape))
+            width = 0 if base else window(templates[label], containment)
+            index += [(w, i, label, k if base else -1, ws, need, width) for i, w in enumerate(ws[: len(ws) - need + 1])]
+    shape = T.StructType([T.StructField("word", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("phrase", T.IntegerType()), T.StructField("t", T.ArrayType(T.StringType())), T.StructField("need", T.IntegerType()), T.StructField("width", T.IntegerType())])
+    rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(k).alias("phrase"), _literal(ws).alias("t"), F.lit(need).alias("need"), F.lit(width).alias("width")) for w, i, label, k, ws, need, width in index]).cast(T.ArrayType(shape))
     prefixes = spark.range(1, numPartitions=1).select(F.inline(rows))
     ordered, starts = _literal(order), _literal(sorted({r[0] for r in index}))
 
-    whole = x.select("rid", F.lit(True).alias("whole"), "toks", "places")
-    line = x.where("blocks is not null").select("rid", F.explode("blocks").alias("b"), "places").select("rid", F.lit(False).alias("whole"), F.col("b.toks").alias("toks"), "places")
-    b = whole.unionByName(line).where(F.arrays_overlap("toks", starts)).withColumn("b", F.array_intersect(ordered, F.col("toks")))
-    b = b.select("rid", "whole", "b", "places", F.explode(F.array_intersect("b", starts)).alias("word"))
+    none = F.lit(None).cast("array<string>")
+    whole = x.select("rid", F.lit(True).alias("whole"), "toks", none.alias("words"), "places")
+    span = x.where("blocks is not null").select("rid", F.explode("blocks").alias("b"), "places").select("rid", F.lit(False).alias("whole"), F.col("b.toks").alias("toks"), F.col("b.words").alias("words"), "places")
+    b = whole.unionByName(span).where(F.arrays_overlap("toks", starts)).withColumn("b", F.array_intersect(ordered, F.col("toks")))
+    b = b.select("rid", "whole", "b", "words", "places", F.explode(F.array_intersect("b", starts)).alias("word"))
     j = F.array_position("b", F.col("word")).cast("int") - 1
     c = b.join(F.broadcast(prefixes), "word").where(F.col("whole") == (F.col("phrase") >= 0))
     c = c.where(F.size("b") >= F.col("need"))
     c = c.where(F.least("i", j) + 1 + F.least(F.size("t") - 1 - F.col("i"), F.size("b") - 1 - j) >= F.col("need"))
     c = c.withColumn("shared", F.size(F.array_intersect("b", F.col("t")))).where("shared >= need")
+    inside = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("width")), F.col("t"))))
+    c = c.withColumn("shared", F.when(F.col("whole"), F.col("shared")).otherwise(F.array_max(inside))).where("shared >= need")
     found = F.when(F.col("phrase") >= 0, F.get("places", F.col("phrase")))
     c = c.withColumn("found", found).where((F.col("phrase") < 0) | (F.size("found") > 0))
     base = F.col("phrase") >= 0

@@ -4,7 +4,7 @@ from math import asin, cos, radians, sin, sqrt
 
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontamination
+from roadloom.llm import decontamination, licenses
 from roadloom.operators import analysis
 from roadloom.plans import fixture
 
@@ -69,3 +69,16 @@ def test_leaks_by_the_rule_alone():
         words = [rng.choice("abcx") for _ in range(rng.randint(0, 30))]
         index = decontamination.Index(list(enumerate(items)))
         assert [k for k, *_ in index.overlaps(" ".join(words))] == [k for k, t in enumerate(items) if agreeing(words, t)]
+
+
+def test_notices_over_lines_and_scattered_words(spark):
+    rows, want = [], {}
+    for k, (label, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words = text.split()
+        for j, before in enumerate((0, 7, 23, 200)):
+            wrapped = "\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4))
+            rows.append((10 * k + j, "lorem " * before + wrapped + " ipsum" * 60))
+            want[10 * k + j] = label
+        rows.append((10 * k + 9, " ".join(w + " lorem" * 9 for w in words)))
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (want[r.doc_id] in r.labels.split(",") and r.score == 1) if r.doc_id in want else not any(x in licenses.TEMPLATES for x in r.labels.split(",")), r
