@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm import decontamination, licenses
 from roadloom.operators import analysis
-from roadloom.plans import fixture
+from roadloom.plans import catalog, fixture
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -82,3 +82,8 @@ def test_notices_over_lines_and_scattered_words(spark):
         rows.append((10 * k + 9, " ".join(w + " lorem" * 9 for w in words)))
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert (want[r.doc_id] in r.labels.split(",") and r.score == 1) if r.doc_id in want else not any(x in licenses.TEMPLATES for x in r.labels.split(",")), r
+
+
+def test_all_events_are_placed(spark):
+    events = fixture.table(spark, SMALL, "events")
+    assert catalog.j17_nearest_nodes(spark, SMALL).count() == events.count()
