@@ -17,14 +17,15 @@ from roadloom.llm import decontamination, langid, mixing, sharding
 SF = "/root/testdata/sf0.001"
 
 
-def language_kept(text, dictionaries):
+def language_kept(text, learned):
+    dictionaries, margin = learned
     if not text or not any(map(str.isalpha, text)) or not dictionaries:
         return False
     sizes = []
     for _, raw in dictionaries:
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         sizes.append(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(langid.normal(text))))
-    return len(sizes) < 2 or sorted(sizes)[1] - min(sizes) >= langid.MARGIN
+    return len(sizes) < 2 or sorted(sizes)[1] - min(sizes) >= margin
 
 
 def simple_fingerprint(text):
@@ -76,8 +77,8 @@ def leaks(text, items):
 
 def plainly(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    dictionaries = langid.learn(docs)
-    rows = [r for r in docs.collect() if language_kept(r.text, dictionaries)]
+    learned = langid.learn(docs)
+    rows = [r for r in docs.collect() if language_kept(r.text, learned)]
     first = smallest_of_groups([(r.doc_id, r.text) for r in rows])
     items = [decontamination.tokens(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [r for r in rows if r.doc_id in first and not leaks(r.text, items)]
