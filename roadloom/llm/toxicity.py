@@ -7,8 +7,9 @@ given up after two or three. Each hit is scored in a window of words around it:
 make it a quotation, a second person or further hits make it abuse. A logistic regression on the sums per document gives
 the score.
 
-Labels are learned from a bounded sample: at most ``SAMPLE`` labelled documents of at most ``LONGEST`` characters, drawn
-by a hash of their id; rows whose crc32(id as text) mod 5 is 0 are never learned from. Every whole text is scored.
+Labels are learned from a bounded sample: the first ``SAMPLE`` labelled documents of at most ``LONGEST`` characters in
+order of a hash of their id, then id and a hash of the text, so equal tables give equal samples; rows whose crc32(id as
+text) mod 5 is 0 are never learned from. The lexicon is all that the sample supports. Every whole text is scored.
 
 Defined cases: a null or empty text gets the score of a text without hits; without labels the built-in terms and weights
 are used; a null id counts as labelled by none; rows with equal texts score alike; an empty table gives an empty result;
@@ -34,14 +35,15 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE = 6_000
 LONGEST = 20_000
 WINDOW = 6
-MOST_TERMS = 400
+TOLD = 80  # characters on either side of a hit in which quotation marks enclose it
 BEGINNING = (5, 9)  # lengths of word beginnings that may become terms
 
 # Common insults, words of reporting and of address.
 TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "bastard", "retard", "imbecile")
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes term word phrase reported according".split())
 ADDRESS = frozenset("you your youre yours u ur du dein deine tu ton vous votre eres tus".split())
-QUOTES = frozenset("\"“”„«»‘’'`")
+QUOTES = frozenset("\"“”„«»")
+SINGLE = frozenset("'‘’`")  # also apostrophes, so they count only right around a term
 NEAR = 0.6  # of an exact hit
 WEIGHTS = (-3.0, 3.0, -0.5, 0.5, 0.5)
 
@@ -141,6 +143,21 @@ class Automaton:
         return got
 
 
+def enclosed(text: str, a: int, b: int) -> bool:
+    """Whether marks stand right around text[a:b]; single ones must not be apostrophes within a word."""
+    left, right = text[a - 1 : a], text[b : b + 1]
+    if a == 0 or not right:
+        return False
+    if left in QUOTES and right in QUOTES:
+        return True
+    return left in SINGLE and right in SINGLE and not text[max(0, a - 2) : a - 1].isalnum() and not text[b + 1 : b + 2].isalnum()
+
+
+def reported(text: str, a: int, b: int, around: list[str]) -> bool:
+    """Whether a word of reporting is near and quotation marks stand on both sides."""
+    return not REPORTING.isdisjoint(around) and not QUOTES.isdisjoint(text[max(0, a - TOLD) : a]) and not QUOTES.isdisjoint(text[b : b + TOLD])
+
+
 def features(text: str | None, automaton: Automaton) -> np.ndarray:
     """1; logs of the hits, a misspelled one counting less, and of quotations; density of hits; hits that address somebody."""
     low = (text or "").lower()
@@ -155,8 +172,7 @@ def features(text: str | None, automaton: Automaton) -> np.ndarray:
                 marks.append(m.span())
         for (i, d), (a, b) in zip(hits, marks, strict=True):
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            held = low[a - 1 : a] in QUOTES and low[b : b + 1] in QUOTES if a else False
-            told = held or (not REPORTING.isdisjoint(around) and not QUOTES.isdisjoint(low[max(0, a - 40) : b + 40]))
+            told = enclosed(low, a, b) or reported(low, a, b, around)
             if told:
                 quoted += 1
             elif d == 0:
@@ -199,7 +215,7 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool]]:
             chosen.append((w, beginning))
             if beginning:
                 begun.add(w)
-    return chosen[:MOST_TERMS]
+    return chosen
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 0.5) -> np.ndarray:
@@ -219,10 +235,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     """(terms, weights) from the sample."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull())
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic"))
-    chosen = known.select(F.col("doc_id").alias("labelled"), "toxic", draw.alias("draw")).orderBy("draw", "labelled").limit(sample)
+    chosen = known.select(F.col("doc_id").alias("labelled"), "toxic", draw.alias("draw")).orderBy("draw", "labelled", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    rows = rows.select("draw", "doc_id", "toxic", "text").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"] or ""))
+    rows = rows.select("draw", "doc_id", "toxic", "text").orderBy("draw", "doc_id", F.xxhash64("text"), "toxic").limit(sample).collect()
     texts, y = [r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows]
     terms = [*dict.fromkeys([*learn_terms(texts, y), *((t, False) for t in TERMS)])]
     if len(set(y)) < 2:
