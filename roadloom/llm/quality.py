@@ -4,8 +4,8 @@ A grade 0, 1, ... K-1 has P(grade <= k) = sigmoid(threshold k - w . x), with one
 ordered thresholds. x holds hashed words, their written shapes, and a few traits of the whole text. The expected grade
 and the probability of the highest grade serve selection.
 
-Fitted on a bounded sample: at most ``SAMPLE`` rated documents of at most ``LONGEST`` characters, drawn by a hash of
-their id, without the rows whose crc32(id as text) mod 5 is 0. Every whole text is scored; since w . x is a sum over
+Fitted on a bounded sample: the first ``SAMPLE`` rated documents of at most ``LONGEST`` characters in order of a hash of
+their id, then id, a hash of the text and grade, without the rows whose crc32(id as text) mod 5 is 0. Every whole text is scored; since w . x is a sum over
 words, a text of any length costs time in proportion and a bounded memory.
 
 Defined cases: a null or empty text has no words and gets the score of the intercepts; a null rating is no rating;
@@ -134,17 +134,18 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int = GRADES, sample: int
     python_ready(docs.sparkSession)
     known = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("grade"))
-    chosen = known.select(F.col("doc_id").alias("rated"), F.col("grade").cast("int").alias("grade"), draw.alias("draw")).orderBy("draw", "rated").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("rated")).select("draw", "doc_id", "grade", "text")
+    chosen = known.select(F.col("doc_id").alias("rated"), F.col("grade").cast("int").alias("grade"), draw.alias("draw")).orderBy("draw", "rated", "grade").limit(sample)
+    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("rated"))
+    rows = rows.select("draw", "doc_id", "grade", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, names = Hasher(), ["draw", "doc_id", "h", "grade"]
         for b in batches:
             f = [hasher.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("draw"), b.column("doc_id"), b.column("grade"), pa.array([i.astype(np.int32) for i, _ in f], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in f], pa.list_(pa.float32()))], ["draw", "doc_id", "grade", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([i.astype(np.int32) for i, _ in f], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in f], pa.list_(pa.float32()))], [*names, "idx", "val"])
 
-    got = rows.mapInArrow(run, "draw long, doc_id long, grade int, idx array<int>, val array<float>").limit(2 * sample).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["draw"], r["doc_id"], r["idx"]))
+    found = rows.mapInArrow(run, "draw long, doc_id long, h long, grade int, idx array<int>, val array<float>")
+    got = found.orderBy("draw", "doc_id", "h", "grade").limit(sample).toArrow().to_pylist()
     if len({r["grade"] for r in got}) < 2:
         return np.zeros(BUCKETS), np.arange(grades - 1.0) - (grades - 2) / 2
     return fit([(np.array(r["idx"]), np.array(r["val"], float)) for r in got], np.array([r["grade"] for r in got]), grades)
