@@ -115,6 +115,11 @@ def bound(a: np.ndarray, r: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndar
     return a @ b.T + spread + 1e-9 * (na[:, None] * nb[None, :] + spread) + 1e-6
 
 
+def below(score: float) -> float:
+    """A little less, as a long may be rounded up to a float."""
+    return score - 1e-9 * abs(score) if np.isfinite(score) else score
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row, by score, then id."""
     if scores.dtype == object:
@@ -145,12 +150,12 @@ def search_block(queries: pd.DataFrame, data: pd.DataFrame, dim: int, k: int) ->
     out = []
     for (rows, _, _), top in zip(qs, tops, strict=True):
         floor = floors[rows]
-        worst = floor.astype(np.float64)
+        worst = np.where(floor == NEVER, -np.inf, floor.astype(np.float64))
         scores, ids = np.zeros((len(rows), 0), np.int64), np.zeros((len(rows), 0), np.int64)
         order, at = np.argsort(-top, kind="stable"), 0
-        while at < len(order) and top[order[at]] >= worst.min() - 1e-9 * abs(worst.min()):
+        while at < len(order) and top[order[at]] >= below(worst.min()):
             cand = []
-            while at < len(order) and sum(map(len, cand)) < BATCH and top[order[at]] >= worst.min() - 1e-9 * abs(worst.min()):
+            while at < len(order) and sum(map(len, cand)) < BATCH and top[order[at]] >= below(worst.min()):
                 cand.append(ds[order[at]][0])
                 at += 1
             cand = np.concatenate(cand)
@@ -250,12 +255,12 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     first = staged(evaluate(home, queries.withColumn("floor", F.lit(NEVER).cast("long"))), "first")
     kth = first.groupBy("q_row").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("q_row", F.get("s", F.lit(k - 1)).alias("kth"))
     floors = staged(queries.join(kth, queries["row"] == kth["q_row"], "left").select("row", "vec_id", "v", "cell", "qb", F.coalesce("kth", F.lit(NEVER).cast("long")).alias("floor")), "floors")
-    worst = {r["cell"]: float(r["w"]) for r in floors.groupBy("cell").agg(F.min("floor").alias("w")).collect()}
+    worst = {r["cell"]: below(float(r["w"]) if r["w"] > NEVER else -np.inf) for r in floors.groupBy("cell").agg(F.min("floor").alias("w")).collect()}
 
     nodes = range(len(tree.centers))
     radius = lambda key: np.array([max((float(np.linalg.norm(centers[m] - centers[tree.centers[n]])) * (1 + 1e-9) + (cells[m][key] or 0.0) for m in tree.members[n] if m in cells), default=0.0) for n in nodes])
     lowest = np.array([min((worst[m] for m in tree.members[n] if m in worst), default=np.inf) for n in nodes])
-    known = spark.sparkContext.broadcast((tree, centers[tree.centers], radius("rq"), radius("r"), lowest - 1e-9 * np.abs(np.where(np.isinf(lowest), 0, lowest)), of_query, of_data))
+    known = spark.sparkContext.broadcast((tree, centers[tree.centers], radius("rq"), radius("r"), lowest, of_query, of_data))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of blocks below the query nodes that no bound rules out."""
@@ -265,7 +270,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
                 todo, pairs = [(start, np.array([0]))], set()
                 while todo:
                     a, others = todo.pop()
-                    if np.isinf(least[a]):
+                    if least[a] == np.inf:
                         continue
                     others = others[bound(c[[a]], rq[[a]], c[others], rd[others])[0] >= least[a]]
                     if not len(others):
