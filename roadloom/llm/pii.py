@@ -5,9 +5,12 @@ a deterministic parser expands to the boundaries of an email, a number, an addre
 validates it. A parser reads each run of characters a fixed number of times, so very long texts cost linear time.
 
 Base kinds (email, ip, card, phone) are exactly the leftmost non-overlapping matches of their patterns that pass their
-tests; failing matches are dropped and not tried again. The method adds ``url`` and ``account`` spans.
+tests; failing matches are dropped and not tried again. The method adds ``url`` and ``account`` spans. After the cue of
+an IBAN an account is a country, two check digits and blocks that pass the remainder by 97; after that of a social
+security number, nine digits of which no part is one that is never given out; after other cues, a value with a digit.
 
-Defined cases: a null or empty text has no spans; rows with equal ids give a row each; an empty table gives an empty
+Defined cases: a null or empty text has no spans; a very long one is read whole; of anchors that would give overlapping
+spans of a kind the first counts; rows with equal ids give a row each; an empty table gives an empty
 result; extra columns are left out. Offsets count code points.
 """
 
@@ -39,6 +42,8 @@ _PHONE = re.compile(r"[\x20().0-9-]++")
 _DIGITS = re.compile(r"[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]++")
 _VALUE = re.compile(r"[\x20]?[:=#]?[\x20]?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,63}+)")
+_IBAN = re.compile(r"[^A-Za-z0-9]{0,3}(?:(?i:no|number|nr)[.:]?[\x20])?([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+)")
+_SSN = re.compile(r"[^A-Za-z0-9]{0,3}(?:(?i:no|number|nr)[.:]?[\x20])?([0-9]{3})([-\x20]?)([0-9]{2})\2([0-9]{4})(?![0-9])")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -61,6 +66,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the IBAN after a cue that ends at ``at``: the longest run of blocks that passes its check."""
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    a, b = m.span(1)
+    for stop in range(b, a + 14, -1):
+        plain = text[a:stop].replace(" ", "")
+        if 15 <= len(plain) <= 34 and text[stop - 1] != " " and not text[stop : stop + 1].isalnum() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return a, stop
+    return None
+
+
+def ssn(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the social security number after a cue that ends at ``at``."""
+    m = _SSN.match(text, at)
+    if not m or m[1] in ("000", "666") or m[1] >= "900" or m[3] == "00" or m[4] == "0000":
+        return None
+    return m.start(1), m.end()
+
+
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """The spans (start, end) of each kind, in order."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -103,7 +129,11 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                     urls = stop
         elif what == "cue":
             whole = (i == 0 or not low[i - 1].isalnum()) and not low[end + 1 : end + 2].isalnum()
-            if whole and i >= accounts and (m := _VALUE.match(text, end + 1)) and _DIGITS.search(m[1]) and not text[m.end() : m.end() + 1].isalnum():
+            if whole and i >= accounts and low[i : end + 1] in ("iban", "ssn"):
+                if span := (iban if low[i] == "i" else ssn)(text, end + 1):
+                    spans["account"].append(span)
+                    accounts = span[1]
+            elif whole and i >= accounts and (m := _VALUE.match(text, end + 1)) and _DIGITS.search(m[1]) and not text[m.end() : m.end() + 1].isalnum():
                 spans["account"].append(m.span(1))
                 accounts = m.end()
         else:
