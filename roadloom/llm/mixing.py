@@ -6,8 +6,9 @@ probability l ranks by the odds u/(1-u) divided by the odds l/(1-l), and the low
 remaining words are used up. Inclusion grows with the bit length of a document's size, so the draw is one of unequal
 probabilities. A few fill-in rounds take later documents that still fit into what is left.
 
-No row is ranked against the rows of its source in one task: the cut of a source is found by refining sums over 1,024
-bins of the rank, so a source with a third of all rows costs as many small partial sums as any other.
+No row is ranked against the rows of its source in one task: the cut of a source is found from sums over 2^``BITS`` bins
+of the rank, and then within the bin where it lies, so a source with a third of all rows costs as many partial sums as
+any other.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in order;
 a null id is drawn by its text; rows with equal ids are drawn alike (they tie, and a tie is taken whole or not at all);
@@ -26,8 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 ROUNDS = 3
-LEVELS = 3
-BITS = 10
+LEVELS = 1
+BITS = 20
 
 
 def word_count(text: Column) -> Column:
