@@ -287,7 +287,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
                 yield pa.RecordBatch.from_arrays([pa.array(qb, pa.int32()), pa.array(db, pa.int32())], ["qb", "db"])
 
     roots = tree.subtrees()
-    starts = spark.createDataFrame([(n,) for n in roots], "node int").repartition(len(roots))
+    starts = spark.createDataFrame([(n,) for n in roots], "node int").repartition(min(len(roots), SUBTREES))
     pairs = staged(starts.mapInArrow(descend, "qb int, db int").distinct().join(F.broadcast(home), ["qb", "db"], "left_anti"), "pairs")
     found = first if pairs.isEmpty() else first.unionByName(evaluate(pairs, floors))
     rank = F.row_number().over(W.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
