@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 def tag(key: str) -> Column:
     """The column that ``spread`` makes of a tag."""
-    return F.col(f"`tag {key}`")
+    return F.col(f"`tag:{key}`")
 
 
 def spread(df: DataFrame, keys) -> DataFrame:
-    """``df`` with a column for each tag, so that rules look a tag up once."""
-    return df.withColumns({f"tag {k}": F.element_at(F.col("tags"), F.lit(k)) for k in keys})
+    """``df`` with a column for each tag instead of ``tags``; as it is, if it has these columns already.
+
+    Rules name tags many times over: stage the result, else each mention looks the map up again.
+    """
+    if "tags" not in df.columns:
+        return df
+    return df.select(*[c for c in df.columns if c != "tags"], *[F.element_at(F.col("tags"), F.lit(k)).alias(f"tag:{k}") for k in keys])
 
 
 def most_specific(*keys: str) -> Column:

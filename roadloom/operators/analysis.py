@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from roadloom.functions.geo import bearing
+from roadloom.functions.geo import bearing, haversine
 from roadloom.operators.components import components
 from roadloom.staging import staged
 
@@ -24,6 +24,7 @@ def streets(edges: DataFrame) -> DataFrame:
 
 
 def streets_per_node(edges: DataFrame) -> DataFrame:
+    """node_id, streets: a loop counts twice."""
     return streets(edges).select(F.explode(F.array("a", "b")).alias("node_id"), "n").groupBy("node_id").agg(F.sum("n").alias("streets"))
 
 
@@ -31,13 +32,28 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return streets_per_node(edges).groupBy("streets").agg(F.count("*").alias("n_nodes"))
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """One edge for each street: of edges between the same nodes, of the same way and along the same nodes in either order, that of the smallest id."""
+    text = lambda r: F.array_join(r.cast("array<string>"), ",")
+    shape = F.least(text(F.col("refs")), text(F.reverse("refs")))
+    key = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.col("osm_id"), shape.alias("shape")]
+    kept = edges.groupBy(*key).agg(F.min("edge_id").alias("edge_id")).select("edge_id")
+    return edges.join(kept, "edge_id", "left_semi")
+
+
 def stats(edges: DataFrame) -> DataFrame:
-    s = streets(edges)
-    nodes = s.select(F.explode(F.array("a", "b")).alias("node")).agg(F.countDistinct("node").alias("n_nodes"))
-    m = edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(F.col("length_m").cast("double")), 1).alias("length_m"), F.round(F.avg(F.col("length_m").cast("double")), 3).alias("mean_m"))
-    t = s.agg(F.sum("n").alias("n_streets"))
-    one = [x.withColumn("one", F.lit(1)) for x in (nodes, m, t)]
-    return reduce(lambda a, b: a.join(b, "one"), one).drop("one").withColumn("k_avg", F.round(2 * F.col("n_edges") / F.col("n_nodes"), 6))
+    """One row of basic measures: nodes, edges, streets, intersections, lengths, circuity, share of loops."""
+    per = streets_per_node(edges).agg(F.count("*").alias("n_nodes"), F.count_if(F.expr("streets > 1")).alias("n_intersections"), F.round(F.avg("streets"), 6).alias("streets_per_node"))
+    length = lambda: F.col("length_m").cast("double")
+    a, b = F.get("geometry", F.lit(0)), F.element_at("geometry", -1)
+    straight = haversine(a["lon"], a["lat"], b["lon"], b["lat"])
+    m = edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(length()), 1).alias("length_m"), F.round(F.avg(length()), 3).alias("mean_m"))
+    u = undirected(edges).agg(
+        F.count("*").alias("n_streets"), F.round(F.sum(length()), 1).alias("street_length_m"), F.round(F.avg(length()), 3).alias("street_mean_m"),
+        F.round(F.sum(length()) / F.sum(straight), 4).alias("circuity"), F.round(F.avg((F.col("source") == F.col("target")).cast("int")), 6).alias("loops"),
+    )
+    one = [x.withColumn("one", F.lit(1)) for x in (per, m, u)]
+    return reduce(lambda x, y: x.join(y, "one"), one).drop("one").withColumn("k_avg", F.round(2 * F.col("n_edges") / F.col("n_nodes"), 6))
 
 
 def with_bearing(edges: DataFrame) -> DataFrame:
@@ -46,10 +62,15 @@ def with_bearing(edges: DataFrame) -> DataFrame:
 
 
 def orientation(edges: DataFrame, bins: int = 36) -> DataFrame:
-    """bin, n, entropy: streets by compass direction; bins are centered on multiples of their width."""
-    width = 360.0 / bins
-    b = with_bearing(edges).select((F.floor((F.round("bearing", 6) + width / 2) / width).cast("int") % bins).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy())
+    """bin, n, entropy: both directions of each street by compass direction, in bins centered on multiples of their width.
+
+    Counted in half bins; a bin joins the half before its middle and the half after it.
+    """
+    half = 180.0 / bins
+    at = lambda b: F.floor(F.pmod(F.round(b, 6), F.lit(360.0)) / half).cast("int")
+    both = F.explode(F.array(at(F.col("bearing")), at(F.col("bearing") + 180)))
+    b = with_bearing(undirected(edges)).select(both.alias("half")).select(((F.col("half") + 1) % (2 * bins) / 2).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy())  # a row for each bin
     return b.withColumn("p", share).withColumn("entropy", F.round(F.sum(-F.col("p") * F.log("p")).over(W.partitionBy()), 6)).drop("p")
 
 
@@ -58,6 +79,66 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("source").alias("a"), F.col("target").alias("b"))).select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node_id, component: the smallest node that reaches this one and is reached by it.
+
+    Rounds of colouring: each node takes the smallest node that reaches it; the nodes of that colour that reach the
+    colour's own node are a component and leave. Nodes that nothing enters or leaves are components of their own.
+    """
+    arcs = staged(edges.where("source <> target").select("source", "target").distinct(), "arcs")
+    nodes = staged(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "nodes")
+    found = []
+    while not nodes.isEmpty():
+        color = _spread_least(nodes.select("node", F.col("node").alias("c")), arcs)
+        same = color.select(F.col("node").alias("source"), F.col("c").alias("cs"))
+        within = staged(arcs.join(same, "source").join(color.select(F.col("node").alias("target"), F.col("c").alias("ct")), "target").where("cs = ct").select("source", "target", "cs"), "within")
+        back = _reaching(color.where("node = c").select("node"), within.select("source", "target"))
+        done = staged(back.join(color, "node").select(F.col("node").alias("node_id"), F.col("c").alias("component")), "done")
+        found.append(done)
+        gone = done.select(F.col("node_id").alias("node"))
+        nodes = staged(nodes.join(gone, "node", "left_anti"), "nodes")
+        for side in ("source", "target"):
+            arcs = arcs.join(gone.withColumnRenamed("node", side), side, "left_anti")
+        arcs = staged(arcs, "arcs")
+    return reduce(DataFrame.unionByName, found) if found else nodes.select(F.col("node").alias("node_id"), F.col("node").alias("component"))
+
+
+def _spread_least(labels: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, c): the smallest label of the nodes that reach a node; only improved labels go on."""
+    best = new = staged(labels, "labels")
+    while not new.isEmpty():
+        offered = new.join(arcs, new["node"] == arcs["source"]).groupBy("target").agg(F.min("c").alias("o"))
+        x = staged(best.join(offered, best["node"] == offered["target"], "left").select("node", F.least("c", "o").alias("c"), F.coalesce(F.col("o") < F.col("c"), F.lit(False)).alias("fresh")), "labels")
+        best, new = x.drop("fresh"), x.where("fresh").drop("fresh")
+    return best
+
+
+def _reaching(ends: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node): the nodes that reach one of ``ends``."""
+    known = new = staged(ends, "reaching")
+    while not new.isEmpty():
+        new = staged(arcs.join(new.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node")).distinct().join(known, "node", "left_anti"), "reaching")
+        known = known.unionByName(new)
+    return known
+
+
+def by_size(components_: DataFrame) -> DataFrame:
+    """node_id, component, label: 0 for the component of most nodes, ties to the smaller component."""
+    sizes = components_.groupBy("component").agg(F.count("*").alias("size"))
+    ranked = sizes.withColumn("label", F.row_number().over(W.orderBy(F.desc("size"), "component")) - 1)  # a row a component
+    return components_.join(ranked.select("component", "label"), "component").select("node_id", "component", "label")
+
+
+def largest_component(edges: DataFrame, strong: bool = False) -> DataFrame:
+    """The edges within the component of most nodes."""
+    of = strong_components(edges) if strong else weak_components(edges)
+    first = of.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    keep = of.join(first, "component", "left_semi")
+    for side in ("source", "target"):
+        edges = edges.join(keep.select(F.col("node_id").alias(side)), side, "left_semi")
+    return edges
+
+
 def reach(edges: DataFrame, origins: DataFrame, limit_s: float, several: int = 8) -> DataFrame:
     """origin, node_id, cost_s of the cheapest path within the limit: relaxation from a frontier until nothing gets cheaper.
 

@@ -22,11 +22,11 @@ def unequal_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, n_null, lowest, highest, mean, n_distinct (about) of numeric columns, in one pass."""
+    """column, n, n_null, lowest, highest, mean, std, quartiles and n_distinct (about) of numeric columns, in one pass."""
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
-        stats.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.min(x).alias("lowest"), F.max(x).alias("highest"), F.round(F.avg(x), 6).alias("mean"), F.approx_count_distinct(c).alias("n_distinct")).alias(c))
+        stats.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.min(x).alias("lowest"), F.max(x).alias("highest"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev(x), 6).alias("std"), *[F.percentile_approx(x, q / 100).alias(f"q{q}") for q in (25, 50, 75)], F.approx_count_distinct(c).alias("n_distinct")).alias(c))
     one = df.agg(*stats)
     return one.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("s")).select("s.*")
 

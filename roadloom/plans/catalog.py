@@ -1,18 +1,20 @@
-"""The registered queries and their SQL. The network is that of ``fixture``."""
+"""The registered queries and their SQL. The network is that of ``fixture``, built once for a session and folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.api import Network
 from roadloom.functions.geo import tile_key, tile_xy
 from roadloom.operators import analysis, network
-from roadloom.operators.ways import mode_ways
 from roadloom.plans import fixture
+from roadloom.plans.fixture import LAT, LON
 
 FLAGSHIP = "turns_per_class"
 QUERIES: dict = {}
 ORACLES: dict = {}
+_networks: dict[tuple[str, str], Network] = {}
 
 
 def query(sql: str | None = None):
@@ -25,127 +27,242 @@ def query(sql: str | None = None):
     return add
 
 
-def on_network(select: str, mode: str = "driving", more: str = "") -> str:
-    return fixture.network_sql(mode) + (f", {more}" if more else "") + " " + select
+def net(spark: SparkSession, sf_dir: str) -> Network:
+    """The network of the tables; its own tables are staged once and serve all queries of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = Network(fixture.raw_nodes(spark, sf_dir), fixture.raw_ways(spark, sf_dir), fixture.raw_relations(spark, sf_dir))
+    return _networks[key]
 
 
-def edges(spark: SparkSession, sf_dir: str, mode: str = "driving") -> DataFrame:
-    return network.build(fixture.raw_nodes(spark, sf_dir), fixture.raw_ways(spark, sf_dir), mode)
+def on_network(select: str, mode: str = "driving", more: str = "", recursive: bool = False) -> str:
+    sql = fixture.network_sql(mode) + (f", {more}" if more else "") + " " + select
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else sql
 
 
-GRAPH = "labelled AS (SELECT *, CASE WHEN access IN ('private', 'bus', 'pedestrian', 'delivery') THEN access END AS lab FROM edges), graph AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, a.cost_s AS cost, coalesce(a.lab, b.lab, 'car') AS uses FROM labelled a JOIN labelled b ON a.target = b.source AND a.edge_id <> b.edge_id WHERE a.lab IS NULL OR b.lab IS NULL OR a.lab = b.lab)"
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), k) for c, k in digits.items()})
+
+
+def listed(*columns: str) -> list:
+    """Array columns as text."""
+    return [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in columns]
+
+
+# The line graph, turn rules and what is left of the graph.
+LABELLED = """labelled AS (SELECT *, CASE WHEN access IN ('private', 'bus', 'pedestrian', 'delivery') THEN access END AS lab FROM edges),
+lines_ AS (SELECT a.edge_id AS from_edge, b.edge_id AS to_edge, a.cost_s AS cost, coalesce(a.lab, b.lab, '{use}') AS uses FROM labelled a JOIN labelled b ON a.target = b.source AND a.edge_id <> b.edge_id WHERE a.lab IS NULL OR b.lab IS NULL OR a.lab = b.lab),
+heads AS (SELECT edge_id, coalesce(bridge, 'no') NOT IN ('no', '') AND lab IS NULL AS on_bridge, degrees(atan2(ys[-1] - ys[-2], (xs[-1] - xs[-2]) * cos(radians(ys[-1])))) AS arriving, degrees(atan2(ys[2] - ys[1], (xs[2] - xs[1]) * cos(radians(ys[1])))) AS leaving FROM labelled),
+line_graph AS (SELECT l.* FROM lines_ l JOIN heads a ON a.edge_id = from_edge JOIN heads b ON b.edge_id = to_edge WHERE NOT (a.on_bridge AND b.on_bridge AND abs((b.leaving - a.arriving + 540) % 360 - 180) > 90))"""
+RULES = """node_ways AS (SELECT node_id AS k, list(DISTINCT osm_id ORDER BY osm_id) AS w FROM (SELECT osm_id, unnest(refs) AS node_id FROM raw_ways) GROUP BY 1 HAVING count(DISTINCT osm_id) > 2),
+rules AS (SELECT k AS restriction_id, CASE WHEN k % 3 = 0 THEN 'only_straight_on' ELSE 'no_left_turn' END AS restriction_type, CASE WHEN k % 7 = 0 THEN 'bicycle' END AS except_vehicles,
+  CASE WHEN k % 5 = 2 THEN 'hgv' END AS applies_to, CASE WHEN k % 5 = 1 THEN 'Mo-Fr 07:00-09:00' END AS condition, w[1] AS from_way, CASE WHEN k % 11 <> 0 THEN k END AS via_node, CASE WHEN k % 11 = 0 THEN w[2] END AS via_way,
+  CASE WHEN k % 11 = 0 THEN w[3] ELSE w[2] END AS to_way FROM node_ways),
+steps AS (SELECT DISTINCT way, least(a, b) AS low, greatest(a, b) AS high FROM (SELECT osm_id AS way, unnest(refs[:-2]) AS a, unnest(refs[2:]) AS b FROM ways)),
+first_way AS (SELECT DISTINCT edge_id, source, target, way FROM open_edges JOIN steps ON low = least(refs[1], refs[2]) AND high = greatest(refs[1], refs[2])),
+last_way AS (SELECT DISTINCT edge_id, source, target, way FROM open_edges JOIN steps ON low = least(refs[-2], refs[-1]) AND high = greatest(refs[-2], refs[-1])),
+restrictions AS (SELECT DISTINCT restriction_id, restriction_type, except_vehicles, applies_to, condition, via_node, f.edge_id AS from_edge_id, t.edge_id AS to_edge_id
+  FROM rules JOIN last_way f ON f.target = via_node AND f.way = from_way JOIN first_way t ON t.source = via_node AND t.way = to_way)"""
+GRAPH = LABELLED.replace("{use}", "car") + ",\n" + RULES + """,
+bans AS (SELECT g.from_edge, g.to_edge, r.* FROM line_graph g JOIN restrictions r ON r.from_edge_id = g.from_edge WHERE (restriction_type LIKE 'no_%' AND to_edge_id = to_edge) OR (restriction_type LIKE 'only_%' AND to_edge_id <> to_edge)),
+graph AS (SELECT * FROM line_graph g WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.from_edge = g.from_edge AND b.to_edge = g.to_edge AND applies_to IS NULL AND condition IS NULL))"""
 
 
 @query(on_network("SELECT e.highway, count(*) AS n_turns, count(DISTINCT e.edge_id) AS n_edges FROM graph g JOIN edges e ON e.edge_id = g.from_edge WHERE g.uses = 'car' GROUP BY 1", more=GRAPH))
 def turns_per_class(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    g = network.edge_graph(e).where("uses = 'car'")
-    return g.join(e.select(F.col("edge_id").alias("from_edge"), "highway"), "from_edge").groupBy("highway").agg(F.count("*").alias("n_turns"), F.countDistinct("from_edge").alias("n_edges"))
+    """Legal turns and the edges that they leave, by road class. An edge's turns are counted before they meet its class."""
+    n = net(spark, sf_dir)
+    per_edge = n.edge_graph().where("uses = 'car'").groupBy("from_edge").agg(F.count("*").alias("n"))
+    x = per_edge.join(n.edges("driving").select(F.col("edge_id").alias("from_edge"), "highway"), "from_edge")
+    return x.groupBy("highway").agg(F.sum("n").alias("n_turns"), F.count("*").alias("n_edges"))
+
+
+_WAY = "osm_id, highway, oneway, access, lanes_fwd, lanes_bwd, list_aggregate(refs, 'string_agg', ',') AS refs"
+
+
+def _way_query(mode: str):
+    def ways_of(spark, sf_dir):
+        return net(spark, sf_dir).ways(mode).select("osm_id", "highway", "oneway", "access", "lanes_fwd", "lanes_bwd", *listed("refs"))
 
+    ways_of.__name__ = f"n1_{mode}_ways"
+    return query(on_network(f"SELECT {_WAY} FROM ways", mode))(ways_of)
 
-@query(on_network("SELECT osm_id, highway, oneway, access, lanes_fwd, lanes_bwd, list_aggregate(refs, 'string_agg', ',') AS refs FROM ways"))
-def n1_driving_ways(spark, sf_dir):
-    return mode_ways(fixture.raw_ways(spark, sf_dir), "driving").select("osm_id", "highway", "oneway", "access", "lanes_fwd", "lanes_bwd", F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"))
 
+_EDGE = ["edge_id", "edge_ref", "osm_id", "source", "target", "highway", "name", "maxspeed", "oneway", "access", "lanes", "surface", "junction", "layer", "bridge", "tunnel", "service", "is_reverse"]
 
-@query(on_network("SELECT osm_id, highway, oneway, access, lanes_fwd, lanes_bwd, list_aggregate(refs, 'string_agg', ',') AS refs FROM ways", "walking"))
-def n1_walking_ways(spark, sf_dir):
-    return mode_ways(fixture.raw_ways(spark, sf_dir), "walking").select("osm_id", "highway", "oneway", "access", "lanes_fwd", "lanes_bwd", F.concat_ws(",", F.col("refs").cast("array<string>")).alias("refs"))
+
+def _edge_query(mode: str):
+    def edges_of(spark, sf_dir):
+        e = net(spark, sf_dir).edges(mode).select(*_EDGE, "length_m", "maxspeed_kmh", "cost_s")
+        return rounded(e, length_m=1, maxspeed_kmh=3, cost_s=1)
+
+    edges_of.__name__ = f"n9_{mode}_edges"
+    return query(on_network(f"SELECT {', '.join(_EDGE)}, round(length_m::DOUBLE, 1) AS length_m, round(maxspeed_kmh::DOUBLE, 3) AS maxspeed_kmh, round(cost_s::DOUBLE, 1) AS cost_s FROM edges", mode))(edges_of)
+
+
+for _mode in ("driving", "walking", "cycling"):
+    _way_query(_mode)
+    _edge_query(_mode)
 
 
 @query("WITH " + fixture.RAW_SQL + " SELECT node_id, is_road_junction FROM joints")
 def n2_global_junctions(spark, sf_dir):
-    return network.global_junctions(fixture.raw_ways(spark, sf_dir))
+    return net(spark, sf_dir).junctions()
 
 
-@query(on_network("SELECT osm_id, seq, source, target, len(refs)::INTEGER AS n_refs FROM segs"))
+@query(on_network("SELECT node_id, count(*) > 1 OR count(*) FILTER (WHERE road AND pos IN (0, n - 1)) > 0 AS is_road_junction FROM (SELECT highway NOT IN ('footway', 'path', 'cycleway', 'steps', 'pedestrian', 'bridleway', 'corridor') AS road, node_id, pos, n FROM uses) GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (WHERE pos IN (0, n - 1)) > 0"))
+def n3_local_junctions(spark, sf_dir):
+    return network.local_junctions(net(spark, sf_dir).ways("driving"))
+
+
+@query(on_network("SELECT osm_id, seq, source, target, len(refs)::INTEGER AS n_refs FROM segs", "cycling"))
 def n4_segments(spark, sf_dir):
-    ways = mode_ways(fixture.raw_ways(spark, sf_dir), "driving")
-    joints = network.global_junctions(fixture.raw_ways(spark, sf_dir)).where("is_road_junction")
-    return network.segments(ways, fixture.raw_nodes(spark, sf_dir), joints).select("osm_id", "seq", "source", "target", F.size("refs").alias("n_refs"))
+    n = net(spark, sf_dir)
+    return network.segments(n.ways("cycling"), n.raw_nodes(), n.junctions()).select("osm_id", "seq", "source", "target", F.size("refs").alias("n_refs"))
+
+
+@query(on_network("SELECT DISTINCT node_id, round(x, 7) AS lon, round(y, 7) AS lat FROM (SELECT unnest([source, target]) AS node_id, unnest([xs[1], xs[-1]]) AS x, unnest([ys[1], ys[-1]]) AS y FROM edges)"))
+def n9_driving_nodes(spark, sf_dir):
+    """Ends of edges, virtual nodes included."""
+    return rounded(net(spark, sf_dir).nodes("driving"), lon=7, lat=7)
 
 
-_EDGE = "edge_id, osm_id, source, target, highway, oneway, access, lanes, is_reverse, round(length_m::DOUBLE, 1) AS length_m, round(maxspeed_kmh::DOUBLE, 3) AS maxspeed_kmh, round(cost_s::DOUBLE, 2) AS cost_s"
+@query(on_network("SELECT osm_id, count(*) AS n_arcs, round(sum(length_m::DOUBLE), 0) AS length_m, count(*) FILTER (WHERE source < 0 OR target < 0) AS n_halves FROM s3 GROUP BY 1", "walking"))
+def n8_unique_arcs(spark, sf_dir):
+    """Arcs by way after loops and parallel arcs are cut, with their whole length: none is lost."""
+    e = net(spark, sf_dir).edges("walking").where("not is_reverse")
+    x = network.build_arcs(net(spark, sf_dir).raw_nodes(), net(spark, sf_dir).ways("walking"), net(spark, sf_dir).junctions())
+    return x.join(e.select("osm_id").distinct(), "osm_id", "left_semi").groupBy("osm_id").agg(
+        F.count("*").alias("n_arcs"), F.round(F.sum(F.col("length_m").cast("double")), 0).alias("length_m"), F.count_if(F.expr("source < 0 or target < 0")).alias("n_halves"))
 
 
-def _edge_columns(e: DataFrame) -> DataFrame:
-    r = lambda c, k: F.round(F.col(c).cast("double"), k).alias(c)
-    return e.select("edge_id", "osm_id", "source", "target", "highway", "oneway", "access", "lanes", "is_reverse", r("length_m", 1), r("maxspeed_kmh", 3), r("cost_s", 2))
+# Chains, by walking from each of their ends.
+_SAME = "highway, name, oneway, maxspeed, lanes_fwd, surface, access, junction, layer, bridge, tunnel, service"
+_MERGED = f"""tagged AS (SELECT a.*, row({_SAME}) AS same, w.oneway AS single FROM s1 a JOIN ways w USING (osm_id)),
+ends AS (SELECT source AS node, true AS out, same, single FROM tagged UNION ALL SELECT target, false, same, single FROM tagged),
+inner_nodes AS (SELECT node FROM ends WHERE node > 0 GROUP BY 1 HAVING count(*) = 2 AND count(DISTINCT same) = 1 AND (NOT bool_or(single) OR count(*) FILTER (WHERE out) = 1)),
+half AS (SELECT source AS at, target AS other, true AS along, osm_id, refs, xs, ys, single, place, twin, row(osm_id, source, target, refs) AS arc FROM tagged
+  UNION ALL SELECT target, source, false, osm_id, list_reverse(refs), list_reverse(xs), list_reverse(ys), single, place, twin, row(osm_id, source, target, refs) FROM tagged),
+chain_walk AS (SELECT at AS start, other AS cur, [arc] AS arcs, refs, xs, ys, along, single, osm_id, place, twin FROM half WHERE at NOT IN (FROM inner_nodes) AND other IN (FROM inner_nodes)
+  UNION ALL SELECT start, h.other, list_append(arcs, h.arc), list_concat(c.refs, h.refs[2:]), list_concat(c.xs, h.xs[2:]), list_concat(c.ys, h.ys[2:]), c.along, c.single, c.osm_id, c.place, c.twin
+  FROM chain_walk c JOIN half h ON h.at = c.cur AND NOT list_contains(c.arcs, h.arc) WHERE c.cur IN (FROM inner_nodes)),
+chains AS (SELECT * FROM chain_walk WHERE cur NOT IN (FROM inner_nodes) AND len(arcs) > 1 AND start <> cur AND CASE WHEN single THEN along ELSE start < cur END),
+merged AS (SELECT source, target, osm_id, place, twin, refs, xs, ys, length_m FROM tagged WHERE row(osm_id, source, target, refs) NOT IN (SELECT unnest(arcs) FROM chains)
+  UNION ALL SELECT start, cur, osm_id, place, twin, refs, xs, ys, {fixture.hav_sql('xs', 'ys')}::FLOAT FROM chains)"""
+_CHAIN_NETWORK = (
+    fixture.network_sql("walking", "merged", _MERGED).replace("WITH ", "WITH RECURSIVE ", 1)
+    .replace("WHEN u.highway NOT IN", "WHEN u.highway IS NOT NULL AND u.highway NOT IN").replace("LEFT JOIN joints j ON", "LEFT JOIN local_ j ON")
+    .replace("\npts AS", "\nlocal_ AS (SELECT node_id, count(*) > 1 OR count(*) FILTER (WHERE road AND pos IN (0, n - 1)) > 0 AS is_road_junction FROM (SELECT highway NOT IN ('footway', 'path', 'cycleway', 'steps', 'pedestrian', 'bridleway', 'corridor') AS road, node_id, pos, n FROM uses) GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (WHERE pos IN (0, n - 1)) > 0),\npts AS", 1)
+)
 
 
-@query(on_network(f"SELECT {_EDGE} FROM edges"))
-def n9_driving_edges(spark, sf_dir):
-    return _edge_columns(edges(spark, sf_dir))
+@query(_CHAIN_NETWORK + " SELECT edge_id, osm_id, source, target, len(refs)::INTEGER AS n_refs, round(length_m::DOUBLE, 1) AS length_m FROM edges")
+def n7_merged_edges(spark, sf_dir):
+    return rounded(net(spark, sf_dir).merged("walking")[0].select("edge_id", "osm_id", "source", "target", F.size("refs").alias("n_refs"), "length_m"), length_m=1)
 
 
-@query(on_network(f"SELECT {_EDGE} FROM edges", "walking"))
-def n9_walking_edges(spark, sf_dir):
-    return _edge_columns(edges(spark, sf_dir, "walking"))
+_ID = "(hash({0}::BIGINT, {1}::BIGINT, {2}::BIGINT) >> 1)::BIGINT"
 
 
-@query(on_network("SELECT edge_id, osm_id || '#' || dense_rank() OVER (PARTITION BY osm_id ORDER BY seq) || CASE WHEN is_reverse THEN 'r' ELSE 'f' END AS edge_ref FROM edges"))
+@query(_CHAIN_NETWORK + f""", members AS (SELECT c.osm_id AS o, start, cur, c.single, c.refs AS line, unnest(arcs) AS arc, unnest(range(1, len(arcs) + 1))::INTEGER AS seq FROM chains c),
+placed_ AS (SELECT *, arc[1] AS way, arc[2] AS s, arc[3] AS t, list_position(line, arc[2]) > list_position(line, arc[3]) AS against FROM members),
+along_ AS (SELECT *, CASE WHEN against THEN t ELSE s END AS a, CASE WHEN against THEN s ELSE t END AS b FROM placed_)
+SELECT {_ID.format('way', 'a', 'b')} AS old_edge_id, {_ID.format('o', 'start', 'cur')} AS new_edge_id, seq, against AS is_reverse, way AS osm_id FROM along_
+UNION ALL SELECT {_ID.format('way', 'b', 'a')}, {_ID.format('o', 'cur', 'start')}, seq, NOT against, way FROM along_ WHERE NOT single""")
+def n7_edge_id_map(spark, sf_dir):
+    return net(spark, sf_dir).merged("walking")[1]
+
+
+@query(on_network("SELECT edge_id, edge_ref FROM edges"))
 def n10_edge_refs(spark, sf_dir):
-    return network.edge_refs(edges(spark, sf_dir))
+    return net(spark, sf_dir).edges("driving").select("edge_id", "edge_ref")
 
 
-@query(on_network("SELECT from_edge, to_edge, round(cost::DOUBLE, 2) AS cost, uses FROM graph", more=GRAPH))
+@query(on_network("SELECT from_edge, to_edge, to_edge AS via_edge, round(cost::DOUBLE, 1) AS cost, uses FROM graph", more=GRAPH))
 def n16_edge_graph(spark, sf_dir):
-    return network.edge_graph(edges(spark, sf_dir)).withColumn("cost", F.round(F.col("cost").cast("double"), 2))
+    return rounded(net(spark, sf_dir).edge_graph(), cost=1)
+
+
+@query(on_network("SELECT * FROM restrictions", more=RULES))
+def n15_turn_restrictions(spark, sf_dir):
+    return net(spark, sf_dir).turn_restrictions()
 
 
-_RULES = """rules AS (SELECT node_id AS via_node, ws[1] AS from_way, ws[2] AS to_way, CASE WHEN node_id % 3 = 0 THEN 'only_straight_on' ELSE 'no_left_turn' END AS restriction
-  FROM (SELECT node_id, list(DISTINCT osm_id ORDER BY osm_id) AS ws FROM way_uses GROUP BY 1) WHERE len(ws) > 2),
-on_edges AS (SELECT DISTINCT restriction, a.edge_id AS from_edge, b.edge_id AS rule_edge FROM rules JOIN edges a ON a.osm_id = from_way AND a.target = via_node JOIN edges b ON b.osm_id = to_way AND b.source = via_node)"""
+@query(on_network("""SELECT DISTINCT restriction_id, restriction_type, except_vehicles, applies_to, condition, from_edge, list_aggregate(path, 'string_agg', ',') AS via_edges, f.edge_id AS to_edge
+  FROM via_walk v JOIN first_way f ON f.source = v.at AND f.way = v.to_way WHERE len(path) > 0""", more=RULES + """,
+on_way AS (SELECT edge_id, source, target, way FROM first_way UNION SELECT edge_id, source, target, way FROM last_way),
+via_walk AS (SELECT r.*, l.edge_id AS from_edge, l.target AS at, [l.target] AS seen, []::BIGINT[] AS path FROM rules r JOIN last_way l ON l.way = r.from_way WHERE via_way IS NOT NULL
+  UNION SELECT v.* EXCLUDE (at, seen, path), o.target, list_append(seen, o.target), list_append(path, o.edge_id) FROM via_walk v JOIN on_way o ON o.source = v.at AND o.way = v.via_way WHERE NOT list_contains(seen, o.target) AND len(path) < 6)""", recursive=True))
+def n15_path_restrictions(spark, sf_dir):
+    """Rules by way, on paths of edges."""
+    x = net(spark, sf_dir).turn_path_restrictions()
+    return x.select(*[c for c in x.columns if c != "via_edges"], *listed("via_edges"))
 
 
-@query(on_network("SELECT uses, count(*) AS n FROM graph g WHERE NOT EXISTS (SELECT 1 FROM on_edges r WHERE r.from_edge = g.from_edge AND (r.restriction LIKE 'no\\_%' ESCAPE '\\' AND r.rule_edge = g.to_edge OR r.restriction LIKE 'only\\_%' ESCAPE '\\' AND r.rule_edge <> g.to_edge)) GROUP BY 1", more=GRAPH + ", " + _RULES))
-def n15_allowed_turns(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return network.apply_restrictions(network.edge_graph(e), e, fixture.restrictions(spark, sf_dir)).groupBy("uses").agg(F.count("*").alias("n"))
+@query(on_network("""SELECT from_edge, to_edge, true AS allowed, except_vehicles AS vehicles, NULL::VARCHAR AS except_vehicles, NULL::VARCHAR AS condition, restriction_id FROM bans WHERE applies_to IS NULL AND condition IS NULL AND except_vehicles IS NOT NULL
+UNION ALL SELECT from_edge, to_edge, false, applies_to, except_vehicles, condition, restriction_id FROM bans WHERE applies_to IS NOT NULL OR condition IS NOT NULL""", more=GRAPH))
+def n16_turn_permission(spark, sf_dir):
+    return net(spark, sf_dir).turn_permission()
 
 
-@query(on_network("SELECT highway, count(*) AS n_edges, round(sum(length_m::DOUBLE) / 1000, 3) AS km, count(*) FILTER (WHERE oneway) AS n_oneway FROM edges GROUP BY 1"))
+@query(on_network("SELECT highway, count(*) AS n_edges, round(sum(length_m::DOUBLE) / 1000, 2) AS km, count(*) FILTER (WHERE oneway) AS n_oneway FROM edges GROUP BY 1"))
 def a6_network_summary(spark, sf_dir):
-    return analysis.summary(edges(spark, sf_dir))
+    return rounded(analysis.summary(net(spark, sf_dir).edges("driving")), km=2)
 
 
-_STREETS = "pairs AS (SELECT source, target, count(*) AS n FROM open_edges GROUP BY ALL), streets AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(n) AS n FROM pairs GROUP BY ALL), per AS (SELECT node_id, sum(n)::BIGINT AS streets FROM (SELECT unnest([a, b]) AS node_id, n FROM streets) GROUP BY 1)"
+_STREETS = """pairs AS (SELECT source, target, count(*) AS n FROM open_edges GROUP BY ALL), streets AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(n) AS n FROM pairs GROUP BY ALL), per AS (SELECT node_id, sum(n)::BIGINT AS streets FROM (SELECT unnest([a, b]) AS node_id, n FROM streets) GROUP BY 1),
+und_edges AS (SELECT * FROM open_edges QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target), osm_id, least(list_aggregate(refs, 'string_agg', ','), list_aggregate(list_reverse(refs), 'string_agg', ',')) ORDER BY edge_id) = 1)"""
 
 
 @query(on_network("SELECT streets, count(*) AS n_nodes FROM per GROUP BY 1", more=_STREETS))
 def a10_streets_per_node(spark, sf_dir):
-    return analysis.degree_distribution(network.open_edges(edges(spark, sf_dir)))
+    return analysis.degree_distribution(net(spark, sf_dir).open_edges("driving"))
 
 
-@query(on_network("SELECT (SELECT count(*) FROM per) AS n_nodes, count(*) AS n_edges, round(sum(length_m::DOUBLE), 1) AS length_m, round(avg(length_m::DOUBLE), 3) AS mean_m, (SELECT sum(n) FROM streets)::BIGINT AS n_streets, round(2 * count(*) / (SELECT count(*) FROM per), 6) AS k_avg FROM open_edges", more=_STREETS))
+_STRAIGHT = fixture.hav_sql("[xs[1], xs[-1]]", "[ys[1], ys[-1]]")
+
+
+@query(on_network(f"""SELECT (SELECT count(*) FROM per) AS n_nodes, (SELECT count(*) FILTER (WHERE streets > 1) FROM per) AS n_intersections, (SELECT round(avg(streets), 6) FROM per) AS streets_per_node,
+  e.*, u.*, round(2 * n_edges / (SELECT count(*) FROM per), 6) AS k_avg FROM (SELECT count(*) AS n_edges, round(sum(length_m::DOUBLE), 0) AS length_m, round(avg(length_m::DOUBLE), 2) AS mean_m FROM open_edges) e,
+  (SELECT count(*) AS n_streets, round(sum(length_m::DOUBLE), 0) AS street_length_m, round(avg(length_m::DOUBLE), 2) AS street_mean_m, round(sum(length_m::DOUBLE) / sum({_STRAIGHT}), 4) AS circuity, round(avg((source = target)::INTEGER), 6) AS loops FROM und_edges) u""", more=_STREETS))
 def a9_stats(spark, sf_dir):
-    return analysis.stats(network.open_edges(edges(spark, sf_dir)))
+    return rounded(analysis.stats(net(spark, sf_dir).open_edges("driving")), length_m=0, mean_m=2, street_length_m=0, street_mean_m=2)
 
 
-_BEAR = "bear AS (SELECT (degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360 AS b FROM open_edges), bins AS (SELECT floor((round(b, 6) + 5) / 10)::INTEGER % 36 AS bin, count(*) AS n FROM bear GROUP BY 1)"
+_BEAR = """bear AS (SELECT (degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))) + 360) % 360 AS b FROM und_edges),
+halves AS (SELECT floor(round(b, 6) % 360 / 5)::INTEGER AS h FROM bear UNION ALL SELECT floor(round(b + 180, 6) % 360 / 5)::INTEGER FROM bear), bins AS (SELECT (h + 1) % 72 // 2 AS bin, count(*) AS n FROM halves GROUP BY 1)"""
 
 
-@query(on_network("SELECT bin, n, round((SELECT sum(-n / t * ln(n / t)) FROM bins, (SELECT sum(n) AS t FROM bins)), 6) AS entropy FROM bins", more=_BEAR))
+@query(on_network("SELECT bin, n, round((SELECT sum(-n / t * ln(n / t)) FROM bins, (SELECT sum(n) AS t FROM bins)), 6) AS entropy FROM bins", more=_STREETS + ", " + _BEAR))
 def a14_orientation(spark, sf_dir):
-    return analysis.orientation(network.open_edges(edges(spark, sf_dir)))
+    return analysis.orientation(net(spark, sf_dir).open_edges("driving"))
+
+
+@query(on_network("SELECT count(*) AS n, round(sum(length_m::DOUBLE) / 1000, 1) AS km, sum(edge_id % 1000)::BIGINT AS ids FROM und_edges", more=_STREETS))
+def g16_undirected(spark, sf_dir):
+    return analysis.undirected(net(spark, sf_dir).open_edges("driving")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("length_m").cast("double")) / 1000, 1).alias("km"), F.sum(F.col("edge_id") % 1000).alias("ids"))
 
 
-@query(on_network("SELECT min(node) AS component, count(*) AS n_nodes FROM (SELECT node, min(root) AS root FROM closure GROUP BY node) GROUP BY root", more="und AS (SELECT DISTINCT source AS a, target AS b FROM open_edges UNION SELECT target, source FROM open_edges), closure(node, root) AS (SELECT DISTINCT a, a FROM und UNION SELECT u.b, c.root FROM closure c JOIN und u ON u.a = c.node)").replace("WITH ", "WITH RECURSIVE ", 1))
+def _in_parts(spark, sf_dir) -> DataFrame:
+    """Service roads, which fall apart into many components."""
+    return net(spark, sf_dir).edges("driving").where("highway in ('service', 'living_street', 'motorway')")
+
+
+_PARTS = "some_ AS (SELECT DISTINCT source, target FROM edges WHERE highway IN ('service', 'living_street', 'motorway'))"
+
+
+@query(on_network("SELECT node AS node_id, min(root) AS component FROM closure GROUP BY 1", more=_PARTS + ", und AS (SELECT source AS a, target AS b FROM some_ UNION SELECT target, source FROM some_), closure(node, root) AS (SELECT DISTINCT a, a FROM und UNION SELECT u.b, c.root FROM closure c JOIN und u ON u.a = c.node)", recursive=True))
 def g13_weak_components(spark, sf_dir):
-    return analysis.weak_components(network.open_edges(edges(spark, sf_dir))).groupBy("component").agg(F.count("*").alias("n_nodes"))
+    return analysis.weak_components(_in_parts(spark, sf_dir))
 
 
-@query(on_network(
-    "SELECT origin, count(*) - 1 AS n_reached, round(max(c), 1) AS farthest_s FROM (SELECT origin, node, min(cost) AS c FROM r GROUP BY ALL) GROUP BY 1",
-    more="arcs AS (SELECT source, target, min(cost_s::DOUBLE) AS c FROM open_edges GROUP BY ALL), r(origin, node, cost) AS (SELECT DISTINCT source, source, 0::DOUBLE FROM arcs WHERE source % 50 = 0 UNION SELECT origin, target, min(cost + c) FROM r JOIN arcs ON source = node WHERE cost + c <= 9000 GROUP BY ALL)",
-).replace("WITH ", "WITH RECURSIVE ", 1))
-def g8_accessibility(spark, sf_dir):
-    e = network.open_edges(edges(spark, sf_dir))
-    origins = e.where("source % 50 = 0").select(F.col("source").alias("node_id"))
-    return analysis.accessibility(e, origins, 9000.0).withColumn("farthest_s", F.round("farthest_s", 1))
+@query(on_network("SELECT a.node AS node_id, min(a.root) AS component FROM closure a JOIN closure b ON a.node = b.root AND a.root = b.node GROUP BY 1", more=_PARTS + ", closure(node, root) AS (SELECT DISTINCT n, n FROM (SELECT unnest([source, target]) AS n FROM some_) UNION SELECT target, root FROM closure JOIN some_ ON source = node)", recursive=True))
+def g13_strong_components(spark, sf_dir):
+    return analysis.strong_components(_in_parts(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS osm_id, floor((7 + (p_partkey % 200)::DOUBLE / 1000 + 180) / 360 * 4096)::BIGINT AS x, floor((1 - asinh(tan(radians(43 + (p_partkey // 200)::DOUBLE / 1000))) / pi()) / 2 * 4096)::BIGINT AS y, (12 + list_sum(list_transform(range(12), lambda k: ((((x >> (11 - k)) & 1) + 2 * ((y >> (11 - k)) & 1)) << (60 - 2 * k))::BIGINT)))::BIGINT AS tile FROM part")
+@query("SELECT 16 * p_partkey + layer AS osm_id, floor((7 + (p_partkey % 200)::DOUBLE / 1000 + layer::DOUBLE / 16000 + 180) / 360 * 4096)::BIGINT AS x, floor((1 - asinh(tan(radians(43 + (p_partkey // 200)::DOUBLE / 1000 + (layer * 7 % 16)::DOUBLE / 16000))) / pi()) / 2 * 4096)::BIGINT AS y, (12 + list_sum(list_transform(range(12), lambda k: ((((x >> (11 - k)) & 1) + 2 * ((y >> (11 - k)) & 1)) << (60 - 2 * k))::BIGINT)))::BIGINT AS tile FROM part, (SELECT unnest(range(12)) AS layer)")
 def p15_tile_keys(spark, sf_dir):
     n = fixture.raw_nodes(spark, sf_dir)
     x, y = tile_xy(F.col("lon"), F.col("lat"), 12)
@@ -162,15 +279,16 @@ def a8_time_bins(spark, sf_dir):
     return analysis.time_bins(fixture.table(spark, sf_dir, "events").select(F.col("user_id").alias("edge_id"), F.col("ts").alias("time"), "value"))
 
 
-@query(on_network("SELECT DISTINCT node FROM (SELECT source AS node FROM d UNION SELECT target FROM d) INTERSECT SELECT node_id FROM w", more="d AS (SELECT * FROM open_edges), w AS (SELECT DISTINCT node_id FROM way_uses WHERE osm_id IN (SELECT osm_id FROM raw_ways WHERE highway = 'footway'))"))
+@query(on_network("SELECT DISTINCT node FROM (SELECT source AS node FROM open_edges UNION SELECT target FROM open_edges) INTERSECT SELECT node_id FROM w", more="w AS (SELECT DISTINCT unnest(refs) AS node_id FROM raw_ways WHERE highway = 'footway')"))
 def u4_shared_nodes(spark, sf_dir):
-    e = network.open_edges(edges(spark, sf_dir))
-    foot = fixture.raw_ways(spark, sf_dir).where("tags['highway'] = 'footway'").select(F.explode("refs").alias("node"))
-    return e.select(F.col("source").alias("node")).union(e.select("target")).intersect(foot)
+    n = net(spark, sf_dir)
+    e = n.open_edges("driving")
+    return e.select(F.col("source").alias("node")).union(e.select("target")).intersect(n.tagged_ways().where("`tag:highway` = 'footway'").select(F.explode("refs").alias("node")))
 
 
 @query("WITH o AS (SELECT p_partkey AS id, p_brand, p_size FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey AS id, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0) SELECT id, CASE WHEN o.p_brand IS NULL THEN 'added' WHEN n.p_brand IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o.p_brand IS NULL OR n.p_brand IS NULL THEN '' ELSE 'p_size' END AS columns FROM o FULL JOIN n USING (id) WHERE o.p_brand IS NULL OR n.p_brand IS NULL OR o.p_size <> n.p_size")
 def j21_difference(spark, sf_dir):
+    """Two made-up builds of the parts: what was added, removed and changed."""
     p = fixture.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
     new = p.where("id % 11 <> 0").withColumn("p_size", F.when(F.col("id") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
     return analysis.difference(p.where("id % 7 <> 0"), new, "id", ["p_brand", "p_size"])
@@ -178,14 +296,19 @@ def j21_difference(spark, sf_dir):
 
 @query(on_network("SELECT 'unique_edge_id' AS name, count(*) FILTER (WHERE c > 1) AS bad, count(*) AS total FROM (SELECT edge_id, count(*) AS c FROM edges GROUP BY 1) UNION ALL SELECT 'ends_exist', count(*) FILTER (WHERE osm_id IS NULL), count(*) FROM (SELECT DISTINCT unnest([source, target]) AS node FROM edges) LEFT JOIN raw_nodes ON osm_id = node UNION ALL SELECT 'positive_cost', count(*) FILTER (WHERE cost_s <= 0), count(*) FROM edges"))
 def n29_checks(spark, sf_dir):
-    return analysis.checks(edges(spark, sf_dir), fixture.raw_nodes(spark, sf_dir))
+    """Virtual nodes are no raw nodes, so they count as missing ends here."""
+    return analysis.checks(net(spark, sf_dir).edges("driving"), fixture.raw_nodes(spark, sf_dir))
+
+
+POINTS_SQL = "SELECT event_id AS point_id, 7 + (event_id * 37 % 199990)::DOUBLE / 1000000 AS x, 43 + (event_id * 91 % 9000)::DOUBLE / 1000000 AS y FROM events"
+
+
+def points(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    return fixture.table(spark, sf_dir, "events").select(k.alias("point_id"), (7 + (k * 37 % 199990) / 1000000.0).alias("x"), (43 + (k * 91 % 9000) / 1000000.0).alias("y"))
 
 
-@query("""WITH p AS (SELECT event_id AS point_id, 7 + (event_id * 37 % 199990)::DOUBLE / 1000000 AS x, 43 + (event_id * 91 % 9000)::DOUBLE / 1000000 AS y FROM events WHERE event_id % 20 = 0),
-n AS (SELECT p_partkey AS node_id, 7 + (p_partkey % 200)::DOUBLE / 1000 AS lon, 43 + (p_partkey // 200)::DOUBLE / 1000 AS lat FROM part),
-d AS (SELECT point_id, node_id, round(12742000.0 * asin(sqrt(pow(sin((radians(lat) - radians(y)) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2))), 3) AS distance_m FROM p JOIN n ON abs(lon - x) < 0.003 AND abs(lat - y) < 0.003)
-SELECT point_id, arg_min(node_id, (distance_m, node_id)) AS node_id, min(distance_m) AS distance_m FROM d GROUP BY 1""")
+@query()
 def j17_nearest_nodes(spark, sf_dir):
-    e = fixture.table(spark, sf_dir, "events")
-    points = e.select(F.col("event_id").alias("point_id"), (7 + (F.col("event_id") * 37 % 199990) / 1000000.0).alias("x"), (43 + (F.col("event_id") * 91 % 9000) / 1000000.0).alias("y"))
-    return analysis.nearest(points, fixture.raw_nodes(spark, sf_dir))
+    """All events on all nodes: too many pairs for plain SQL, so a test holds it against every pair on a small table."""
+    return analysis.nearest(points(spark, sf_dir), fixture.raw_nodes(spark, sf_dir))

@@ -1,103 +1,238 @@
-"""A road network made of the driver's star-schema tables: parts are nodes on a grid, orders are ways through them."""
+"""A road network made of the driver's star-schema tables, and the same network as SQL for DuckDB.
+
+Parts are nodes: each gives twelve, ``16 * p_partkey + layer``, on a grid. Orders of two lines or more are ways through
+them, all of them; a line's layer, 0 to 9, comes from its order and number, so about three ways meet at a node, as on
+real maps, and no node becomes a hub of all orders. By layers 10 and 11 some ways come back to their last nodes, which
+makes loops and parallel arcs. Tags are written once, as expressions that both engines read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Coordinates of a node, from its id.
+LON = "(7 + (({0} // 16) % 200)::DOUBLE / 1000 + ({0} % 16)::DOUBLE / 16000)"
+LAT = "(43 + ({0} // 3200)::DOUBLE / 1000 + ({0} * 7 % 16)::DOUBLE / 16000)"
+
+#: Tags of an order's way: o and c are the keys of order and customer, q the least quantity, prio and status the order's.
+TAGS = {
+    "highway": """CASE prio
+      WHEN '1' THEN CASE c % 5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' ELSE 'primary' END
+      WHEN '2' THEN CASE c % 4 WHEN 0 THEN 'tertiary' WHEN 1 THEN 'secondary_link' ELSE 'secondary' END
+      WHEN '3' THEN CASE c % 6 WHEN 0 THEN 'living_street' WHEN 1 THEN 'service' WHEN 2 THEN 'unclassified' WHEN 3 THEN 'track' ELSE 'residential' END
+      WHEN '4' THEN CASE c % 8 WHEN 0 THEN 'cycleway' WHEN 1 THEN 'path' WHEN 2 THEN 'steps' WHEN 3 THEN 'construction' ELSE 'footway' END
+      ELSE CASE c % 6 WHEN 0 THEN 'busway' WHEN 1 THEN NULL WHEN 2 THEN 'platform' ELSE 'pedestrian' END END""",
+    "route": "CASE WHEN prio = '5' AND c % 6 = 1 THEN 'ferry' END",
+    "name": "'street ' || CAST(c % 100 AS STRING)",
+    "oneway": "CASE status WHEN 'F' THEN 'yes' WHEN 'P' THEN '-1' ELSE CASE WHEN o % 67 = 0 THEN 'no' END END",
+    "maxspeed": "CASE q % 3 WHEN 1 THEN CAST(q + 20 AS STRING) || ' mph' WHEN 2 THEN CAST(q + 20 AS STRING) END",
+    "junction": "CASE WHEN o % 53 = 0 THEN 'roundabout' END",
+    "oneway:foot": "CASE WHEN o % 43 = 0 THEN 'yes' END",
+    "oneway:bicycle": "CASE o % 41 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN '-1' END",
+    "oneway:bus": "CASE WHEN o % 37 = 0 THEN 'no' END",
+    "access": "CASE WHEN c % 13 = 0 THEN 'private' WHEN c % 17 = 0 THEN 'no' WHEN c % 19 = 0 THEN 'delivery' END",
+    "motor_vehicle": "CASE WHEN prio = '5' AND c % 6 = 3 THEN 'yes' WHEN o % 47 = 0 THEN 'no' END",
+    "foot": "CASE o % 31 WHEN 0 THEN 'no' WHEN 1 THEN 'designated' WHEN 2 THEN 'use_sidepath' END",
+    "bicycle": "CASE o % 23 WHEN 0 THEN 'no' WHEN 1 THEN 'designated' WHEN 2 THEN 'dismount' END",
+    "cycleway": "CASE o % 9 WHEN 0 THEN 'lane' WHEN 1 THEN 'track' WHEN 2 THEN 'no' END",
+    "cycleway:left": "CASE WHEN o % 18 = 3 THEN 'shared_lane' END",
+    "cycleway:right": "CASE WHEN o % 18 = 4 THEN 'share_busway' END",
+    "sidewalk": "CASE o % 7 WHEN 0 THEN 'both' WHEN 1 THEN 'separate' WHEN 2 THEN 'left' WHEN 3 THEN 'no' END",
+    "motorroad": "CASE WHEN o % 61 = 0 THEN 'yes' END",
+    "lanes": "CASE WHEN q % 4 > 0 THEN CAST(q % 4 AS STRING) END",
+    "lanes:forward": "CASE WHEN o % 11 = 0 THEN CAST(q % 3 + 1 AS STRING) END",
+    "lanes:backward": "CASE WHEN o % 13 = 0 THEN CAST(q % 2 + 1 AS STRING) END",
+    "lanes:reversible": "CASE WHEN o % 29 = 0 THEN '1' END",
+    "surface": "CASE o % 3 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' END",
+    "bridge": "CASE WHEN o % 5 = 0 THEN 'yes' END",
+    "layer": "CASE WHEN o % 5 = 0 THEN '1' END",
+    "tunnel": "CASE WHEN o % 59 = 0 THEN 'yes' END",
+    "service": "CASE WHEN prio = '3' AND c % 6 = 1 THEN 'driveway' END",
+    "footway": "CASE o % 6 WHEN 0 THEN 'sidewalk' WHEN 1 THEN 'crossing' END",
+    "segregated": "CASE WHEN o % 2 = 0 THEN 'yes' END",
+    "area": "CASE WHEN o % 8 = 0 THEN 'yes' END",
+    "conveying": "CASE WHEN o % 4 = 0 THEN 'yes' END",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    return p.select(key.alias("osm_id"), (7 + (key % 200) / 1000.0).alias("lon"), (43 + F.floor(key / 200) / 1000.0).alias("lat"), F.create_map(F.lit("kind"), F.split("p_type", " ")[0]).alias("tags"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ")[0].alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("layer"))
+    lon = 7 + (F.col("p_partkey") % 200) / 1000.0 + F.col("layer") / 16000.0
+    lat = 43 + F.floor(F.col("p_partkey") / 200) / 1000.0 + (F.col("layer") * 7 % 16) / 16000.0
+    return p.select((16 * F.col("p_partkey") + F.col("layer")).alias("osm_id"), lon.alias("lon"), lat.alias("lat"), F.create_map(F.lit("kind"), F.col("kind")).alias("tags"))
 
 
 def raw_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"), F.min("l_quantity").alias("q"))
+    line = table(spark, sf_dir, "lineitem")
+    ref = 16 * F.col("l_partkey") + (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", ref.alias("ref")))).alias("s"), F.min("l_quantity").cast("int").alias("q"))
     x = lines.where(F.size("s") > 1).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    prio, cust, q = F.col("o_orderpriority"), F.col("o_custkey"), F.col("q").cast("int")
-    highway = (
-        F.when(prio.startswith("1") & (cust % 5 == 0), "motorway").when(prio.startswith("1"), "primary").when(prio.startswith("2"), "secondary")
-        .when(prio.startswith("3"), "residential").when(prio.startswith("4"), "footway").otherwise("pedestrian")
-    )
-    values = {
-        "highway": highway,
-        "oneway": F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "P", "-1"),
-        "maxspeed": F.when(q % 3 == 1, F.concat((q + 20).cast("string"), F.lit(" mph"))).when(q % 3 == 2, (q + 20).cast("string")),
-        "lanes": F.when(q % 4 > 0, (q % 4).cast("string")),
-        "access": F.when(cust % 13 == 0, "private").when(cust % 17 == 0, "no"),
-        "name": F.concat(F.lit("street "), (cust % 100).cast("string")),
-    }
-    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]), lambda e: e["value"].isNotNull())
-    return x.select(F.col("l_orderkey").alias("osm_id"), F.map_from_entries(entries).alias("tags"), F.transform("s", lambda e: e["l_partkey"]).alias("refs"))
-
-
-def restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rule for each node on three ways or more: from the first way to the second."""
-    at = raw_ways(spark, sf_dir).select("osm_id", F.explode(F.array_distinct("refs")).alias("via_node"))
-    per = at.groupBy("via_node").agg(F.sort_array(F.collect_set("osm_id")).alias("ways")).where(F.size("ways") > 2)
-    return per.select("via_node", F.get("ways", F.lit(0)).alias("from_way"), F.get("ways", F.lit(1)).alias("to_way"), F.when(F.col("via_node") % 3 == 0, "only_straight_on").otherwise("no_left_turn").alias("restriction"))
-
-
-#: The same tables, and the network of them, for DuckDB.
-RAW_SQL = """
-raw_nodes AS (SELECT p_partkey AS osm_id, 7 + (p_partkey % 200)::DOUBLE / 1000 AS lon, 43 + (p_partkey // 200)::DOUBLE / 1000 AS lat FROM part),
-lines AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS refs, min(l_quantity)::INTEGER AS q FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING count(*) > 1),
-raw_ways AS (SELECT l_orderkey AS osm_id, refs,
-  CASE o_orderpriority[1] WHEN '1' THEN CASE WHEN o_custkey % 5 = 0 THEN 'motorway' ELSE 'primary' END WHEN '2' THEN 'secondary' WHEN '3' THEN 'residential' WHEN '4' THEN 'footway' ELSE 'pedestrian' END AS highway,
-  CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'P' THEN '-1' END AS oneway,
-  CASE q % 3 WHEN 1 THEN (q + 20) || ' mph' WHEN 2 THEN (q + 20)::VARCHAR END AS maxspeed,
-  nullif(q % 4, 0) AS n_lanes, CASE WHEN o_custkey % 13 = 0 THEN 'private' WHEN o_custkey % 17 = 0 THEN 'no' END AS access, 'street ' || (o_custkey % 100) AS name
-  FROM lines JOIN orders ON l_orderkey = o_orderkey),
-way_uses AS (SELECT osm_id, highway NOT IN ('footway', 'pedestrian') AS road, unnest(refs) AS node_id, unnest(range(len(refs))) AS pos, len(refs) AS n FROM raw_ways),
+    x = x.select(F.col("l_orderkey").alias("o"), F.col("o_custkey").alias("c"), "q", F.substring("o_orderpriority", 1, 1).alias("prio"), F.col("o_orderstatus").alias("status"), F.transform("s", lambda e: e["ref"]).alias("refs"))
+    end, before = F.element_at("refs", -1), F.element_at("refs", -2)
+    spare = lambda layer: F.shiftright(end, 4) * 16 + layer
+    back = F.when(F.col("o") % 40 == 0, F.array(spare(10), spare(11), end)).when(F.col("o") % 40 == 1, F.array(spare(10), before, spare(11), end))
+    x = x.withColumn("refs", F.concat("refs", F.coalesce(back, F.array().cast("array<bigint>"))))
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).alias("value")) for k, v in TAGS.items()]), lambda e: e["value"].isNotNull())
+    return x.select(F.col("o").alias("osm_id"), F.map_from_entries(entries).alias("tags"), "refs")
+
+
+def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each node on three ways or more, from its first way to its second: for all, for some, at times, or by a way."""
+    at = raw_ways(spark, sf_dir).select("osm_id", F.explode(F.array_distinct("refs")).alias("via"))
+    per = at.groupBy("via").agg(F.sort_array(F.collect_set("osm_id")).alias("w")).where(F.size("w") > 2)
+    k = F.col("via")
+    kind = F.when(k % 3 == 0, "only_straight_on").otherwise("no_left_turn")
+    key = F.when(k % 5 == 1, "restriction:conditional").when(k % 5 == 2, "restriction:hgv").otherwise("restriction")
+    value = F.when(k % 5 == 1, F.concat(kind, F.lit(" @ (Mo-Fr 07:00-09:00)"))).otherwise(kind)
+    tags = F.map_filter(F.create_map(F.lit("type"), F.lit("restriction"), key, value, F.lit("except"), F.when(k % 7 == 0, "bicycle")), lambda _, v: v.isNotNull())
+    by_way = k % 11 == 0
+    via = F.when(by_way, F.get("w", F.lit(1))).otherwise(k)
+    to = F.when(by_way, F.get("w", F.lit(2))).otherwise(F.get("w", F.lit(1)))
+    roles, types = F.array(F.lit("from"), F.lit("via"), F.lit("to")), F.array(F.lit("way"), F.when(by_way, "way").otherwise("node"), F.lit("way"))
+    return per.select(k.alias("osm_id"), tags.alias("tags"), F.array(F.get("w", F.lit(0)), via, to).alias("refs"), roles.alias("ref_roles"), types.alias("ref_types"))
+
+
+_ALLOWED = "('yes', 'designated', 'permissive')"
+_YES = "('yes', '1', 'true')"
+_PATHS = "('footway', 'path', 'cycleway', 'steps', 'pedestrian', 'bridleway', 'corridor')"
+_SHARED = f"""(coalesce(highway = 'pedestrian', false) AND (coalesce(motor_vehicle IN {_ALLOWED}, false) OR coalesce(access IN ('delivery', 'destination', 'agricultural'), false)))"""
+
+RAW_SQL = f"""
+raw_nodes AS (SELECT 16 * p_partkey + layer AS osm_id, 7 + (p_partkey % 200)::DOUBLE / 1000 + layer::DOUBLE / 16000 AS lon, 43 + (p_partkey // 200)::DOUBLE / 1000 + (layer * 7 % 16)::DOUBLE / 16000 AS lat FROM part, (SELECT unnest(range(12)) AS layer)),
+lines AS (SELECT l_orderkey, list(16 * l_partkey + (l_orderkey + l_linenumber) % 10 ORDER BY l_linenumber, l_partkey) AS refs, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY 1 HAVING count(*) > 1),
+raw_ways AS (SELECT o AS osm_id, list_concat(refs, CASE o % 40 WHEN 0 THEN [refs[-1] // 16 * 16 + 10, refs[-1] // 16 * 16 + 11, refs[-1]] WHEN 1 THEN [refs[-1] // 16 * 16 + 10, refs[-2], refs[-1] // 16 * 16 + 11, refs[-1]] ELSE [] END) AS refs, {", ".join(f'{v} AS "{k}"' for k, v in TAGS.items())}
+  FROM (SELECT l_orderkey AS o, o_custkey AS c, q, substring(o_orderpriority, 1, 1) AS prio, o_orderstatus AS status, refs FROM lines JOIN orders ON l_orderkey = o_orderkey)),
+way_uses AS (SELECT osm_id, highway NOT IN {_PATHS} OR {_SHARED} AS road, unnest(refs) AS node_id, unnest(range(len(refs))) AS pos, len(refs) AS n
+  FROM raw_ways WHERE highway IS NOT NULL AND highway NOT IN ('construction', 'proposed', 'abandoned', 'razed', 'disused')),
 joints AS (SELECT node_id, count(*) FILTER (WHERE road) > 0 AS is_road_junction FROM way_uses GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (WHERE road AND pos IN (0, n - 1)) > 0)
 """
 
-MODE_SQL = {
-    "driving": """
-ways AS (SELECT osm_id, highway, name, maxspeed, d <> 0 AS oneway, CASE WHEN highway = 'pedestrian' THEN coalesce(access, 'pedestrian') ELSE access END AS access,
-    CASE WHEN highway = 'pedestrian' THEN NULL WHEN d = 0 THEN coalesce(greatest((n_lanes + 1) // 2, 1), usual) ELSE coalesce(n_lanes, usual) END::INTEGER AS lanes_fwd,
-    CASE WHEN highway = 'pedestrian' OR d <> 0 THEN NULL ELSE coalesce(greatest(n_lanes // 2, 1), usual) END::INTEGER AS lanes_bwd,
-    CASE WHEN d = -1 THEN list_reverse(refs) ELSE refs END AS refs
-  FROM (SELECT *, CASE oneway WHEN 'yes' THEN 1 WHEN '-1' THEN -1 ELSE CASE WHEN highway = 'motorway' THEN 1 ELSE 0 END END AS d, CASE WHEN highway = 'motorway' THEN 2 ELSE 1 END AS usual FROM raw_ways)
-  WHERE highway <> 'footway' AND coalesce(access, '') <> 'no'),
-cuts AS (SELECT node_id FROM joints WHERE is_road_junction)""",
-    "walking": """
-ways AS (SELECT osm_id, highway, name, maxspeed, false AS oneway, access,
-    CASE WHEN highway IN ('footway', 'pedestrian') THEN NULL WHEN d = 0 THEN coalesce(greatest((n_lanes + 1) // 2, 1), usual) WHEN d = 1 THEN coalesce(n_lanes, usual) END::INTEGER AS lanes_fwd,
-    CASE WHEN highway IN ('footway', 'pedestrian') THEN NULL WHEN d = 0 THEN coalesce(greatest(n_lanes // 2, 1), usual) WHEN d = -1 THEN coalesce(n_lanes, usual) END::INTEGER AS lanes_bwd, refs
-  FROM (SELECT *, CASE oneway WHEN 'yes' THEN 1 WHEN '-1' THEN -1 ELSE 0 END AS d, 1 AS usual FROM raw_ways) WHERE highway <> 'motorway' AND coalesce(access, '') <> 'no'),
-cuts AS (SELECT node_id FROM joints)""",
+
+def _by(key: str, otherwise: str) -> str:
+    return f"""CASE WHEN "{key}" IN {_YES} THEN 1 WHEN "{key}" = '-1' THEN -1 ELSE {otherwise} END"""
+
+
+_CAR_DIR = f"""CASE WHEN junction IN ('roundabout', 'circular') THEN 1 ELSE {_by('oneway', "CASE WHEN highway IN ('motorway', 'motorway_link') AND coalesce(oneway, '') NOT IN ('no', 'false', '0') THEN 1 ELSE 0 END")} END"""
+_RIDDEN = f"""CASE WHEN junction IN ('roundabout', 'circular') THEN 1 ELSE {_by('oneway', '0')} END"""
+_BIG = "'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link'"
+_RULES = {
+    "driving": {
+        "use": f"highway IN ('motorway', 'motorway_link', {_BIG}, 'unclassified', 'residential', 'service', 'living_street', 'road', 'busway', 'pedestrian')",
+        "dir": _CAR_DIR,
+        "access": f"""CASE WHEN highway = 'busway' THEN 'bus' WHEN highway = 'pedestrian' AND NOT {_SHARED} THEN CASE WHEN acc IN ('private', 'delivery', 'no', 'agricultural', 'forestry', 'emergency') THEN acc ELSE 'pedestrian' END ELSE acc END""",
+        "acc": "coalesce(motor_vehicle, access)",
+        "closed": "('no', 'agricultural', 'forestry', 'emergency')",
+        "class": f"CASE WHEN {_SHARED} THEN 'living_street' ELSE highway END",
+        "bus_back": """(d <> 0 AND coalesce("oneway:bus" = 'no', false))""",
+    },
+    "walking": {
+        "use": f"""coalesce(highway, '') NOT IN ('motorway', 'motorway_link') AND (coalesce(foot IN {_ALLOWED}, false) OR coalesce(sidewalk IN ('yes', 'both', 'left', 'right'), false)
+  OR (highway IN ('footway', 'path', 'pedestrian', 'steps', 'living_street', 'residential', 'service', 'platform', 'corridor', 'track', 'bridleway', 'road', 'unclassified', {_BIG})
+  AND coalesce(motorroad, '') <> 'yes' AND coalesce(foot, '') <> 'use_sidepath' AND coalesce(sidewalk, '') <> 'separate'))""",
+        "dir": _by("oneway:foot", "0"),
+        "access": "acc",
+        "acc": "coalesce(foot, access)",
+        "closed": "('no')",
+        "class": "highway",
+        "bus_back": "false",
+    },
+    "cycling": {
+        "use": f"""(highway IN ('cycleway', 'path', 'track', 'bridleway', 'living_street', 'residential', 'service', 'unclassified', 'primary', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link', 'footway', 'pedestrian')
+  OR coalesce(bicycle IN {_ALLOWED}, false) OR (cycleway IS NOT NULL AND cycleway NOT IN ('no', 'none', 'separate')))""",
+        "dir": f"""CASE WHEN highway IN ('footway', 'pedestrian') AND coalesce(bicycle, '') NOT IN {_ALLOWED} THEN 0 WHEN "oneway:bicycle" = 'no' THEN 0 ELSE {_by('oneway:bicycle', _RIDDEN)} END""",
+        "access": "acc",
+        "acc": "coalesce(bicycle, access)",
+        "closed": "('no')",
+        "class": "highway",
+        "bus_back": "false",
+    },
 }
 
+
+def _ways_sql(mode: str) -> str:
+    r = _RULES[mode]
+    usual = "CASE WHEN highway IN ('motorway', 'trunk') THEN 2 ELSE 1 END"
+    less = lambda other: f"CASE WHEN n_total IS NOT NULL THEN greatest(n_total - CASE WHEN contra THEN coalesce({other}, 1) ELSE 0 END, 1) END"
+    return f"""
+ruled AS (SELECT *, {r["dir"]} AS d, {_CAR_DIR} AS cd, {r["acc"]} AS acc, coalesce("oneway:bus" = 'no', false) AS contra, lanes::INTEGER AS n_total, "lanes:forward"::INTEGER AS n_fwd, "lanes:backward"::INTEGER AS n_bwd, coalesce("lanes:reversible"::INTEGER, 0) AS n_rev
+  FROM raw_ways WHERE {r["use"]} AND (highway IS NOT NULL OR route = 'ferry')),
+laned AS (SELECT *, {r["access"]} AS acc2, CASE WHEN coalesce(highway, '') IN {_PATHS[:-1]}, 'platform') THEN NULL ELSE n_rev + CASE cd WHEN -1 THEN coalesce(n_bwd, {less("n_fwd")}, {usual}) WHEN 1 THEN coalesce(n_fwd, {less("n_bwd")}, {usual})
+    ELSE coalesce(n_fwd, CASE WHEN n_total - n_bwd IS NOT NULL THEN greatest(n_total - n_bwd, 1) END, CASE WHEN n_total IS NOT NULL THEN greatest((n_total + 1) // 2, 1) END, {usual}) END END AS along,
+  CASE WHEN coalesce(highway, '') IN {_PATHS[:-1]}, 'platform') OR (cd <> 0 AND NOT contra) THEN NULL ELSE n_rev + coalesce(n_bwd, CASE WHEN n_total - n_fwd IS NOT NULL THEN greatest(n_total - n_fwd, 1) END, CASE WHEN n_total IS NOT NULL THEN greatest(n_total // 2, 1) END, {usual}) END AS back FROM ruled),
+ways AS (SELECT osm_id, coalesce({r["class"]}, 'ferry') AS highway, name, maxspeed, d <> 0 AS oneway, {r["bus_back"]} AS bus_back, d = -1 AS against, acc2 AS access, surface, junction, layer, bridge, tunnel, service,
+    (CASE WHEN (d = -1) <> (cd = -1) THEN back ELSE along END)::INTEGER AS lanes_fwd, (CASE WHEN (d = -1) <> (cd = -1) THEN along ELSE back END)::INTEGER AS lanes_bwd,
+    CASE WHEN d = -1 THEN list_reverse(refs) ELSE refs END AS refs
+  FROM laned WHERE coalesce(acc2, '') NOT IN {r["closed"]})"""
+
+
+def hav_sql(xs: str, ys: str) -> str:
+    """Metres along a line given by its lists of coordinates."""
+    return f"""coalesce(list_sum(list_transform(range(1, len({xs})), lambda i: 12742000.0 * asin(sqrt(pow(sin((radians({ys}[i + 1]) - radians({ys}[i])) / 2), 2) + cos(radians({ys}[i])) * cos(radians({ys}[i + 1])) * pow(sin(radians({xs}[i + 1] - {xs}[i]) / 2), 2))))), 0.0)"""
+
+
+def cut_sql(name: str, source: str, chosen: str, key: str) -> str:
+    """CTEs: ``name`` is ``source`` with its arcs where ``chosen`` cut in two at the middle of their planar length."""
+    step = "list_transform(range(1, len(xs)), lambda i: sqrt(pow(xs[i + 1] - xs[i], 2) + pow(ys[i + 1] - ys[i], 2)))"
+    cols = "osm_id, place, twin, refs, xs, ys, length_m"
+    return f"""
+{name}_c AS (SELECT *, {chosen} AS chosen FROM {source}),
+{name}_o AS (SELECT *, list_prepend(0.0, list_transform(range(1, len(xs)), lambda i: list_sum(({step})[1:i]))) AS offs, -(hash({key}, refs::VARCHAR) >> 2)::BIGINT AS v, round_even(len(refs) / 2 + 1, 0)::INTEGER AS m FROM {name}_c WHERE chosen),
+{name}_k AS (SELECT *, greatest(len(list_filter(offs, lambda z: z < offs[-1] / 2)), 1) AS k FROM {name}_o),
+{name}_s AS (SELECT *, CASE WHEN offs[k + 1] > offs[k] THEN (offs[-1] / 2 - offs[k]) / (offs[k + 1] - offs[k]) ELSE 0.0 END AS share FROM {name}_k),
+{name}_p AS (SELECT *, xs[k] + (xs[k + 1] - xs[k]) * share AS mx, ys[k] + (ys[k + 1] - ys[k]) * share AS my FROM {name}_s),
+{name} AS (SELECT source, target, {cols} FROM {name}_c WHERE NOT chosen
+  UNION ALL SELECT source, v, osm_id, place, twin, refs[:m], list_append(xs[:k], mx), list_append(ys[:k], my), (length_m / 2)::FLOAT FROM {name}_p
+  UNION ALL SELECT v, target, osm_id, 2000000000, twin, refs[m:], list_prepend(mx, xs[k + 1:]), list_prepend(my, ys[k + 1:]), (length_m / 2)::FLOAT FROM {name}_p)"""
+
+
+SPLIT_SQL = (
+    cut_sql("s1", "arcs", "source = target", "osm_id, source") + ","
+    + cut_sql("s2", "{merged}", "source <> target AND row_number() OVER (PARTITION BY osm_id, source, target ORDER BY length_m, refs::VARCHAR) > 1", "osm_id, source, target") + ","
+    + cut_sql("s3", "s2", "twin AND row_number() OVER (PARTITION BY osm_id, least(source, target), greatest(source, target) ORDER BY length_m, refs::VARCHAR) > 1", "osm_id, source, target")
+)
+
 EDGE_SQL = """
-pts AS (SELECT u.osm_id, pos, node_id, lon, lat, pos IN (0, n - 1) OR node_id IN (SELECT node_id FROM cuts) AS cut
-  FROM (SELECT osm_id, unnest(refs) AS node_id, unnest(range(len(refs))) AS pos, len(refs) AS n FROM ways) u JOIN raw_nodes r ON r.osm_id = u.node_id),
-pts2 AS (SELECT p.osm_id, p.pos, p.node_id, p.lon, p.lat, p.cut FROM (SELECT pts.* FROM pts) p),
-steps AS (SELECT *, coalesce(sum(cut::INTEGER) OVER (PARTITION BY osm_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS seq,
-  lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lag(node_id) OVER w AS node0 FROM pts2 WINDOW w AS (PARTITION BY osm_id ORDER BY pos)),
-segs AS (SELECT osm_id, seq::INTEGER AS seq, arg_min(node0, pos) AS source, arg_max(node_id, pos) AS target, list_prepend(arg_min(node0, pos), list(node_id ORDER BY pos)) AS refs,
-  sum(12742000.0 * asin(sqrt(pow(sin((radians(lat) - radians(lat0)) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))) ORDER BY pos)::FLOAT AS length_m,
-  arg_min(lon0, pos) AS lon1, arg_min(lat0, pos) AS lat1, arg_max(lon, pos) AS lon2, arg_max(lat, pos) AS lat2 FROM steps WHERE pos > 0 GROUP BY osm_id, seq),
-sided AS (SELECT s.*, w.highway, w.name, w.maxspeed, w.oneway, w.access, w.lanes_fwd, w.lanes_bwd, unnest(CASE WHEN w.oneway THEN [false] ELSE [false, true] END) AS rev FROM segs s JOIN ways w USING (osm_id) WHERE source <> target),
-turned AS (SELECT osm_id, seq, CASE WHEN rev THEN target ELSE source END AS source, CASE WHEN rev THEN source ELSE target END AS target, highway, name, maxspeed, oneway, access, CASE WHEN rev THEN lanes_bwd ELSE lanes_fwd END AS lanes,
-  CASE WHEN rev THEN list_reverse(refs) ELSE refs END AS refs, rev AS is_reverse, length_m,
-  CASE WHEN rev THEN lon2 ELSE lon1 END AS lon1, CASE WHEN rev THEN lat2 ELSE lat1 END AS lat1, CASE WHEN rev THEN lon1 ELSE lon2 END AS lon2, CASE WHEN rev THEN lat1 ELSE lat2 END AS lat2 FROM sided),
-uniq AS (SELECT * FROM turned QUALIFY row_number() OVER (PARTITION BY osm_id, source, target ORDER BY length_m, list_aggregate(refs, 'string_agg', ','), is_reverse) = 1),
-fast AS (SELECT *, {speed}::FLOAT AS maxspeed_kmh FROM uniq),
-edges AS (SELECT *, (hash(osm_id::BIGINT, source::BIGINT, target::BIGINT) >> 1)::BIGINT AS edge_id, (((length_m / 1000::FLOAT)::FLOAT / maxspeed_kmh)::FLOAT * 3600::FLOAT)::FLOAT AS cost_s FROM fast),
+uses AS (SELECT osm_id, highway, against, unnest(refs) AS node_id, unnest(range(len(refs))) AS pos, len(refs) AS n FROM ways),
+shared AS (SELECT node_id FROM uses GROUP BY 1 HAVING count(*) > 1),
+pts AS (SELECT u.osm_id, u.against, u.pos, u.node_id, r.lon, r.lat, row_number() OVER (PARTITION BY u.osm_id ORDER BY u.pos) AS k,
+  CASE WHEN u.highway NOT IN {paths} THEN coalesce(j.is_road_junction, false) ELSE j.node_id IS NOT NULL OR s.node_id IS NOT NULL END AS cut
+  FROM uses u JOIN raw_nodes r ON r.osm_id = u.node_id LEFT JOIN joints j ON j.node_id = u.node_id LEFT JOIN shared s ON s.node_id = u.node_id),
+lists AS (SELECT osm_id, any_value(against) AS against, list(node_id ORDER BY k) AS refs, list(lon ORDER BY k) AS xs, list(lat ORDER BY k) AS ys, list(k ORDER BY k) FILTER (cut) AS inner_cuts FROM pts GROUP BY 1 HAVING count(*) > 1),
+cutted AS (SELECT *, list_sort(list_distinct(list_concat([1, len(refs)], coalesce(inner_cuts, [])))) AS cuts FROM lists),
+pieces AS (SELECT *, unnest(range(1, len(cuts))) AS i FROM cutted),
+segs AS (SELECT osm_id, (i - 1)::INTEGER AS seq, refs[cuts[i]] AS source, refs[cuts[i + 1]] AS target, refs[cuts[i]:cuts[i + 1]] AS refs, xs[cuts[i]:cuts[i + 1]] AS xs, ys[cuts[i]:cuts[i + 1]] AS ys,
+  CASE WHEN against THEN list_position(list_reverse(refs), refs[cuts[i]]) ELSE list_position(refs, refs[cuts[i]]) END AS place FROM pieces),
+arcs0 AS (SELECT s.*, (NOT w.oneway OR w.bus_back) AS twin, {length}::FLOAT AS length_m FROM segs s JOIN ways w USING (osm_id)),
+arcs AS (SELECT * FROM arcs0 WHERE source <> target OR len(list_distinct(list_zip(xs, ys))) > 1),
+{split},
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY osm_id ORDER BY place, source, target) AS nth FROM s3),
+sided AS (SELECT p.*, w.* EXCLUDE (osm_id, refs), unnest(CASE WHEN p.twin THEN [false, true] ELSE [false] END) AS rev FROM placed p JOIN ways w USING (osm_id)),
+turned AS (SELECT osm_id, nth, CASE WHEN rev THEN target ELSE source END AS source, CASE WHEN rev THEN source ELSE target END AS target, highway, name, maxspeed, oneway, CASE WHEN rev AND oneway THEN 'bus' ELSE access END AS access,
+  CASE WHEN rev THEN lanes_bwd ELSE lanes_fwd END AS lanes, surface, junction, layer, bridge, tunnel, service, CASE WHEN rev THEN list_reverse(refs) ELSE refs END AS refs,
+  CASE WHEN rev THEN list_reverse(xs) ELSE xs END AS xs, CASE WHEN rev THEN list_reverse(ys) ELSE ys END AS ys, rev AS is_reverse,
+  CASE WHEN (source < 0 OR target < 0) AND {length} > 0 AND abs(length_m::DOUBLE / ({length}::FLOAT)::DOUBLE - 1) > 0.001 THEN {length}::FLOAT ELSE length_m END AS length_m FROM sided),
+fast AS (SELECT *, {speed}::FLOAT AS maxspeed_kmh FROM turned),
+edges AS (SELECT *, (hash(osm_id::BIGINT, source::BIGINT, target::BIGINT) >> 1)::BIGINT AS edge_id, osm_id || '#' || nth || CASE WHEN is_reverse THEN 'r' ELSE 'f' END AS edge_ref,
+  xs[1] AS lon1, ys[1] AS lat1, xs[-1] AS lon2, ys[-1] AS lat2, (((length_m / 1000::FLOAT)::FLOAT / maxspeed_kmh)::FLOAT * 3600::FLOAT)::FLOAT AS cost_s FROM fast),
 open_edges AS (SELECT * FROM edges WHERE coalesce(access, '') NOT IN ('private', 'bus', 'pedestrian', 'delivery'))
 """
 SPEED_SQL = {
     "driving": """coalesce(try_cast(maxspeed AS DOUBLE), CASE WHEN maxspeed LIKE '%mph%' THEN regexp_extract(maxspeed, '(\\d+)', 1)::DOUBLE * 1.60934 END,
-  CASE highway WHEN 'motorway' THEN 110 WHEN 'primary' THEN 70 WHEN 'secondary' THEN 60 WHEN 'residential' THEN 30 ELSE 50 END)""",
+  CASE highway WHEN 'motorway' THEN 110 WHEN 'trunk' THEN 90 WHEN 'primary' THEN 70 WHEN 'secondary' THEN 60 WHEN 'secondary_link' THEN 60 WHEN 'tertiary' THEN 50 WHEN 'residential' THEN 30 WHEN 'living_street' THEN 20 WHEN 'service' THEN 20 WHEN 'unclassified' THEN 40 ELSE 50 END)""",
     "walking": "5",
+    "cycling": "15",
 }
 
 
-def network_sql(mode: str = "driving") -> str:
-    return "WITH " + RAW_SQL + "," + MODE_SQL[mode] + "," + EDGE_SQL.replace("{speed}", SPEED_SQL[mode])
+def network_sql(mode: str = "driving", merged: str = "s1", more: str = "") -> str:
+    """The CTEs of a mode's network, up to ``edges`` and ``open_edges``; ``more`` CTEs make ``merged`` of the arcs s1."""
+    split = SPLIT_SQL.replace("{merged}", merged)
+    if more:
+        split = split.replace("\ns2_c AS", more + ",\ns2_c AS", 1)
+    edge = EDGE_SQL.replace("{paths}", _PATHS).replace("{length}", hav_sql("xs", "ys")).replace("{speed}", SPEED_SQL[mode]).replace("{split}", split)
+    return "WITH " + RAW_SQL + "," + _ways_sql(mode) + "," + edge
