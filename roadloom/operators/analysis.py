@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from roadloom.functions.geo import bearing, haversine
 from roadloom.operators.components import components
-from roadloom.staging import staged
+from roadloom.staging import python_ready, staged, within_bound
 
 
 def summary(edges: DataFrame, by: str = "highway") -> DataFrame:
@@ -79,28 +80,89 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return components(edges.select(F.col("source").alias("a"), F.col("target").alias("b"))).select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Arcs of a weak component up to which one task finds its strong components.
+TASK_ARCS = 1_000_000
+
+
+def _strong(arcs: pd.DataFrame) -> pd.DataFrame:
+    """The strong components of a weak one: depth first without recursion, the lowest number reachable on the stack."""
+    out: dict[int, list[int]] = {}
+    for u, v in zip(arcs["source"].tolist(), arcs["target"].tolist(), strict=True):
+        out.setdefault(u, []).append(v)
+        out.setdefault(v, [])
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_: list[int] = []
+    on: set[int] = set()
+    rows: list[tuple[int, int]] = []
+    for root in out:
+        if root in number:
+            continue
+        todo = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        on.add(root)
+        while todo:
+            u, after = todo[-1]
+            for v in after:
+                if v not in number:
+                    number[v] = low[v] = len(number)
+                    open_.append(v)
+                    on.add(v)
+                    todo.append((v, iter(out[v])))
+                    break
+                if v in on:
+                    low[u] = min(low[u], number[v])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[u])
+                if low[u] == number[u]:
+                    at = len(open_) - 1 - open_[::-1].index(u)
+                    group, open_ = open_[at:], open_[:at]
+                    on.difference_update(group)
+                    rows += [(x, min(group)) for x in group]
+    return pd.DataFrame(rows, columns=["node_id", "component"]).astype("int64")
+
+
+def strong_components(edges: DataFrame, most: int = TASK_ARCS) -> DataFrame:
     """node_id, component: the smallest node that reaches this one and is reached by it.
 
-    Rounds of colouring: each node takes the smallest node that reaches it; the nodes of that colour that reach the
-    colour's own node are a component and leave. Nodes that nothing enters or leaves are components of their own.
+    A weak component of at most ``most`` arcs is searched in one task. Larger ones go through rounds of colouring: each
+    node takes the smallest node that reaches it; the nodes of that colour that reach the colour's own node are a
+    component and leave.
     """
-    arcs = staged(edges.where("source <> target").select("source", "target").distinct(), "arcs")
-    nodes = staged(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "nodes")
+    python_ready(edges.sparkSession)
+    arcs = staged(edges.select("source", "target").distinct(), "arcs")
+    nodes = arcs.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    weak = components(arcs.select(F.col("source").alias("a"), F.col("target").alias("b"))).select(F.col("node").alias("source"), "root")
+    x = staged(arcs.where("source <> target").join(weak, "source"), "arcs")
+    large = staged(x.groupBy("root").count().where(F.col("count") > most).select("root"), "large")
+    small = x.join(F.broadcast(large) if within_bound(large) else large, "root", "left_anti")
+    found = [staged(small.groupBy("root").applyInPandas(_strong, "node_id long, component long"), "strong")]
+    if not large.isEmpty():
+        found.append(_by_colours(x.join(large, "root", "left_semi").select("source", "target")))
+    found = reduce(DataFrame.unionByName, found)
+    alone = nodes.join(found, nodes["node"] == found["node_id"], "left_anti").select(F.col("node").alias("node_id"), F.col("node").alias("component"))
+    return found.unionByName(alone)
+
+
+def _by_colours(arcs: DataFrame) -> DataFrame:
+    arcs = staged(arcs, "arcs")
+    nodes = staged(arcs.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "nodes")
     found = []
     while not nodes.isEmpty():
         color = _spread_least(nodes.select("node", F.col("node").alias("c")), arcs)
         same = color.select(F.col("node").alias("source"), F.col("c").alias("cs"))
-        within = staged(arcs.join(same, "source").join(color.select(F.col("node").alias("target"), F.col("c").alias("ct")), "target").where("cs = ct").select("source", "target", "cs"), "within")
-        back = _reaching(color.where("node = c").select("node"), within.select("source", "target"))
-        done = staged(back.join(color, "node").select(F.col("node").alias("node_id"), F.col("c").alias("component")), "done")
-        found.append(done)
-        gone = done.select(F.col("node_id").alias("node"))
+        within = arcs.join(same, "source").join(color.select(F.col("node").alias("target"), F.col("c").alias("ct")), "target").where("cs = ct")
+        back = _reaching(color.where("node = c").select("node"), staged(within.select("source", "target"), "within"))
+        found.append(staged(back.join(color, "node").select(F.col("node").alias("node_id"), F.col("c").alias("component")), "done"))
+        gone = found[-1].select(F.col("node_id").alias("node"))
         nodes = staged(nodes.join(gone, "node", "left_anti"), "nodes")
         for side in ("source", "target"):
             arcs = arcs.join(gone.withColumnRenamed("node", side), side, "left_anti")
         arcs = staged(arcs, "arcs")
-    return reduce(DataFrame.unionByName, found) if found else nodes.select(F.col("node").alias("node_id"), F.col("node").alias("component"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _spread_least(labels: DataFrame, arcs: DataFrame) -> DataFrame:

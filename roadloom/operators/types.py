@@ -10,6 +10,7 @@ from roadloom.functions.hashing import with_edge_id
 from roadloom.functions.tags import is_in, tag
 from roadloom.operators.network import cost_seconds, node_table
 from roadloom.operators.ways import ALLOWED
+from roadloom.staging import staged
 
 # Classes that share the road with cars, rough ways, ways that dangle.
 SHARED_ROADS = (
@@ -58,13 +59,15 @@ def with_types(edges: DataFrame, tags: DataFrame, mode: str) -> DataFrame:
     if mode == "walking":
         x = x.withColumn("walk_type", walk_type())
     else:
-        x = x.withColumn("dismount", pushed() & F.col("way").isNotNull())
-        stub = (F.col("osm_id") < 0) & is_in(F.col("highway"), ("footway", "pedestrian"))
-        ends = x.where("dismount").select(F.col("highway").alias("like"), F.explode(F.array("source", "target")).alias("end")).distinct()
-        beside = x.where(stub).select("edge_id", "highway", F.explode(F.array("source", "target")).alias("end")).join(ends, ["end"]).where("highway = like")
-        x = x.join(beside.select(F.col("edge_id").alias("walked")).distinct(), F.col("edge_id") == F.col("walked"), "left")
-        x = x.withColumn("dismount", F.col("dismount") | F.col("walked").isNotNull()).drop("walked").withColumn("cycle_type", cycle_type())
+        paths = x.where(is_in(F.col("highway"), ("footway", "pedestrian"))).withColumn("p", pushed() & F.col("way").isNotNull())
+        paths = staged(paths.select("edge_id", "osm_id", "highway", "source", "target", "p"), "paths")
+        ends = paths.where("p").select(F.col("highway").alias("like"), F.explode(F.array("source", "target")).alias("end")).distinct()
+        stubs = paths.where("osm_id < 0").select("edge_id", "highway", F.explode(F.array("source", "target")).alias("end"))
+        beside = stubs.join(ends, (stubs["end"] == ends["end"]) & (stubs["highway"] == ends["like"]), "left_semi").select("edge_id")
+        walked = paths.where("p").select("edge_id").union(beside).distinct().select(F.col("edge_id").alias("walked"))
+        x = x.join(walked, F.col("edge_id") == F.col("walked"), "left").withColumn("dismount", F.col("walked").isNotNull()).drop("walked")
         x = x.withColumn("maxspeed_kmh", F.when(F.col("dismount"), F.lit(5.0).cast("float")).otherwise(F.col("maxspeed_kmh"))).withColumn("cost_s", cost_seconds())
+        x = x.withColumn("cycle_type", cycle_type())
     return x.drop("way", *[c for c in x.columns if c.startswith("tag:")])
 
 

@@ -57,8 +57,7 @@ heads AS (SELECT edge_id, coalesce(bridge, 'no') NOT IN ('no', '') AND lab IS NU
 line_graph AS (SELECT l.* FROM lines_ l JOIN heads a ON a.edge_id = from_edge JOIN heads b ON b.edge_id = to_edge WHERE NOT (a.on_bridge AND b.on_bridge AND abs((b.leaving - a.arriving + 540) % 360 - 180) > 90))"""
 RULES = """node_ways AS (SELECT node_id AS k, list(DISTINCT osm_id ORDER BY osm_id) AS w FROM (SELECT osm_id, unnest(refs) AS node_id FROM raw_ways) GROUP BY 1 HAVING count(DISTINCT osm_id) > 2),
 rules AS (SELECT k AS restriction_id, CASE WHEN k % 3 = 0 THEN 'only_straight_on' ELSE 'no_left_turn' END AS restriction_type, CASE WHEN k % 7 = 0 THEN 'bicycle' END AS except_vehicles,
-  CASE WHEN k % 5 = 2 THEN 'hgv' END AS applies_to, CASE WHEN k % 5 = 1 THEN 'Mo-Fr 07:00-09:00' END AS condition, w[1] AS from_way, CASE WHEN k % 11 <> 0 THEN k END AS via_node, CASE WHEN k % 11 = 0 THEN w[2] END AS via_way,
-  CASE WHEN k % 11 = 0 THEN w[3] ELSE w[2] END AS to_way FROM node_ways),
+  CASE WHEN k % 5 = 2 THEN 'hgv' END AS applies_to, CASE WHEN k % 5 = 1 THEN 'Mo-Fr 07:00-09:00' END AS condition, w[1] AS from_way, CASE WHEN k % 11 <> 0 THEN k END AS via_node, CASE WHEN k % 11 = 0 THEN w[2] END AS via_way, w[2] AS to_way FROM node_ways),
 steps AS (SELECT DISTINCT way, least(a, b) AS low, greatest(a, b) AS high FROM (SELECT osm_id AS way, unnest(refs[:-2]) AS a, unnest(refs[2:]) AS b FROM ways)),
 first_way AS (SELECT DISTINCT edge_id, source, target, way FROM open_edges JOIN steps ON low = least(refs[1], refs[2]) AND high = greatest(refs[1], refs[2])),
 last_way AS (SELECT DISTINCT edge_id, source, target, way FROM open_edges JOIN steps ON low = least(refs[-2], refs[-1]) AND high = greatest(refs[-2], refs[-1])),
@@ -139,14 +138,14 @@ def n8_unique_arcs(spark, sf_dir):
 
 # Chains, by walking from each of their ends.
 _SAME = "highway, name, oneway, maxspeed, lanes_fwd, surface, access, junction, layer, bridge, tunnel, service"
-_MERGED = f"""tagged AS (SELECT a.*, row({_SAME}) AS same, w.oneway AS single FROM s1 a JOIN ways w USING (osm_id)),
-ends AS (SELECT source AS node, true AS out, same, single FROM tagged UNION ALL SELECT target, false, same, single FROM tagged),
-inner_nodes AS (SELECT node FROM ends WHERE node > 0 GROUP BY 1 HAVING count(*) = 2 AND count(DISTINCT same) = 1 AND (NOT bool_or(single) OR count(*) FILTER (WHERE out) = 1)),
-half AS (SELECT source AS at, target AS other, true AS along, osm_id, refs, xs, ys, single, place, twin, row(osm_id, source, target, refs) AS arc FROM tagged
+_MERGED = f"""tagged AS (SELECT a.*, row({_SAME}) AS alike, w.oneway AS single FROM s1 a JOIN ways w USING (osm_id)),
+stops AS (SELECT source AS node, true AS leaves, alike, single FROM tagged UNION ALL SELECT target, false, alike, single FROM tagged),
+inner_nodes AS (SELECT node FROM stops WHERE node > 0 GROUP BY 1 HAVING count(*) = 2 AND count(DISTINCT alike) = 1 AND (NOT bool_or(single) OR count(*) FILTER (WHERE leaves) = 1)),
+half AS (SELECT source AS here, target AS other, true AS along, osm_id, refs, xs, ys, single, place, twin, row(osm_id, source, target, refs) AS arc FROM tagged
   UNION ALL SELECT target, source, false, osm_id, list_reverse(refs), list_reverse(xs), list_reverse(ys), single, place, twin, row(osm_id, source, target, refs) FROM tagged),
-chain_walk AS (SELECT at AS start, other AS cur, [arc] AS arcs, refs, xs, ys, along, single, osm_id, place, twin FROM half WHERE at NOT IN (FROM inner_nodes) AND other IN (FROM inner_nodes)
+chain_walk AS (SELECT here AS start, other AS cur, [arc] AS arcs, refs, xs, ys, along, single, osm_id, place, twin FROM half WHERE here NOT IN (FROM inner_nodes) AND other IN (FROM inner_nodes)
   UNION ALL SELECT start, h.other, list_append(arcs, h.arc), list_concat(c.refs, h.refs[2:]), list_concat(c.xs, h.xs[2:]), list_concat(c.ys, h.ys[2:]), c.along, c.single, c.osm_id, c.place, c.twin
-  FROM chain_walk c JOIN half h ON h.at = c.cur AND NOT list_contains(c.arcs, h.arc) WHERE c.cur IN (FROM inner_nodes)),
+  FROM chain_walk c JOIN half h ON h.here = c.cur AND NOT list_contains(c.arcs, h.arc) WHERE c.cur IN (FROM inner_nodes)),
 chains AS (SELECT * FROM chain_walk WHERE cur NOT IN (FROM inner_nodes) AND len(arcs) > 1 AND start <> cur AND CASE WHEN single THEN along ELSE start < cur END),
 merged AS (SELECT source, target, osm_id, place, twin, refs, xs, ys, length_m FROM tagged WHERE row(osm_id, source, target, refs) NOT IN (SELECT unnest(arcs) FROM chains)
   UNION ALL SELECT start, cur, osm_id, place, twin, refs, xs, ys, {fixture.hav_sql('xs', 'ys')}::FLOAT FROM chains)"""
@@ -190,10 +189,10 @@ def n15_turn_restrictions(spark, sf_dir):
 
 
 @query(on_network("""SELECT DISTINCT restriction_id, restriction_type, except_vehicles, applies_to, condition, from_edge, list_aggregate(path, 'string_agg', ',') AS via_edges, f.edge_id AS to_edge
-  FROM via_walk v JOIN first_way f ON f.source = v.at AND f.way = v.to_way WHERE len(path) > 0""", more=RULES + """,
+  FROM via_walk v JOIN first_way f ON f.source = v.here AND f.way = v.to_way WHERE len(path) > 0""", more=RULES + """,
 on_way AS (SELECT edge_id, source, target, way FROM first_way UNION SELECT edge_id, source, target, way FROM last_way),
-via_walk AS (SELECT r.*, l.edge_id AS from_edge, l.target AS at, [l.target] AS seen, []::BIGINT[] AS path FROM rules r JOIN last_way l ON l.way = r.from_way WHERE via_way IS NOT NULL
-  UNION SELECT v.* EXCLUDE (at, seen, path), o.target, list_append(seen, o.target), list_append(path, o.edge_id) FROM via_walk v JOIN on_way o ON o.source = v.at AND o.way = v.via_way WHERE NOT list_contains(seen, o.target) AND len(path) < 6)""", recursive=True))
+via_walk AS (SELECT r.*, l.edge_id AS from_edge, l.target AS here, [l.target] AS seen, []::BIGINT[] AS path FROM rules r JOIN last_way l ON l.way = r.from_way WHERE via_way IS NOT NULL
+  UNION SELECT v.* EXCLUDE (here, seen, path), o.target, list_append(seen, o.target), list_append(path, o.edge_id) FROM via_walk v JOIN on_way o ON o.source = v.here AND o.way = v.via_way WHERE NOT list_contains(seen, o.target) AND len(path) < 6)""", recursive=True))
 def n15_path_restrictions(spark, sf_dir):
     """Rules by way, on paths of edges."""
     x = net(spark, sf_dir).turn_path_restrictions()
@@ -206,9 +205,9 @@ def n16_turn_permission(spark, sf_dir):
     return net(spark, sf_dir).turn_permission()
 
 
-@query(on_network("SELECT highway, count(*) AS n_edges, round(sum(length_m::DOUBLE) / 1000, 2) AS km, count(*) FILTER (WHERE oneway) AS n_oneway FROM edges GROUP BY 1"))
+@query(on_network("SELECT highway, count(*) AS n_edges, round(sum(length_m::DOUBLE) / 1000, 3) AS km, count(*) FILTER (WHERE oneway) AS n_oneway FROM edges GROUP BY 1"))
 def a6_network_summary(spark, sf_dir):
-    return rounded(analysis.summary(net(spark, sf_dir).edges("driving")), km=2)
+    return analysis.summary(net(spark, sf_dir).edges("driving"))
 
 
 _STREETS = """pairs AS (SELECT source, target, count(*) AS n FROM open_edges GROUP BY ALL), streets AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(n) AS n FROM pairs GROUP BY ALL), per AS (SELECT node_id, sum(n)::BIGINT AS streets FROM (SELECT unnest([a, b]) AS node_id, n FROM streets) GROUP BY 1),
@@ -224,8 +223,8 @@ _STRAIGHT = fixture.hav_sql("[xs[1], xs[-1]]", "[ys[1], ys[-1]]")
 
 
 @query(on_network(f"""SELECT (SELECT count(*) FROM per) AS n_nodes, (SELECT count(*) FILTER (WHERE streets > 1) FROM per) AS n_intersections, (SELECT round(avg(streets), 6) FROM per) AS streets_per_node,
-  e.*, u.*, round(2 * n_edges / (SELECT count(*) FROM per), 6) AS k_avg FROM (SELECT count(*) AS n_edges, round(sum(length_m::DOUBLE), 0) AS length_m, round(avg(length_m::DOUBLE), 2) AS mean_m FROM open_edges) e,
-  (SELECT count(*) AS n_streets, round(sum(length_m::DOUBLE), 0) AS street_length_m, round(avg(length_m::DOUBLE), 2) AS street_mean_m, round(sum(length_m::DOUBLE) / sum({_STRAIGHT}), 4) AS circuity, round(avg((source = target)::INTEGER), 6) AS loops FROM und_edges) u""", more=_STREETS))
+  e.*, u.*, round(2 * n_edges / (SELECT count(*) FROM per), 6) AS k_avg FROM (SELECT count(*) AS n_edges, round(round(sum(length_m::DOUBLE), 1), 0) AS length_m, round(round(avg(length_m::DOUBLE), 3), 2) AS mean_m FROM open_edges) e,
+  (SELECT count(*) AS n_streets, round(round(sum(length_m::DOUBLE), 1), 0) AS street_length_m, round(round(avg(length_m::DOUBLE), 3), 2) AS street_mean_m, round(sum(length_m::DOUBLE) / sum({_STRAIGHT}), 4) AS circuity, round(avg((source = target)::INTEGER), 6) AS loops FROM und_edges) u""", more=_STREETS))
 def a9_stats(spark, sf_dir):
     return rounded(analysis.stats(net(spark, sf_dir).open_edges("driving")), length_m=0, mean_m=2, street_length_m=0, street_mean_m=2)
 

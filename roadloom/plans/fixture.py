@@ -92,9 +92,8 @@ def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.map_filter(F.create_map(F.lit("type"), F.lit("restriction"), key, value, F.lit("except"), F.when(k % 7 == 0, "bicycle")), lambda _, v: v.isNotNull())
     by_way = k % 11 == 0
     via = F.when(by_way, F.get("w", F.lit(1))).otherwise(k)
-    to = F.when(by_way, F.get("w", F.lit(2))).otherwise(F.get("w", F.lit(1)))
     roles, types = F.array(F.lit("from"), F.lit("via"), F.lit("to")), F.array(F.lit("way"), F.when(by_way, "way").otherwise("node"), F.lit("way"))
-    return per.select(k.alias("osm_id"), tags.alias("tags"), F.array(F.get("w", F.lit(0)), via, to).alias("refs"), roles.alias("ref_roles"), types.alias("ref_types"))
+    return per.select(k.alias("osm_id"), tags.alias("tags"), F.array(F.get("w", F.lit(0)), via, F.get("w", F.lit(1))).alias("refs"), roles.alias("ref_roles"), types.alias("ref_types"))
 
 
 _ALLOWED = "('yes', 'designated', 'permissive')"

@@ -181,18 +181,21 @@ def g7_isochrone_edges(spark, sf_dir):
     return routing.isochrone_edges(n.edge_graph().where("uses = 'car'"), n.edges("driving"), _edge_origins(spark, sf_dir), [5.0, 10.0, 15.0])
 
 
-_PATHS = """arcs_ AS (SELECT source, target, min(cost_s::DOUBLE) AS c FROM open_edges WHERE source <> target GROUP BY ALL), ends_ AS (SELECT DISTINCT source AS s, source + 1 AS t FROM open_edges WHERE source % 100 = 0),
-trip AS (SELECT s, t, s AS at, 0::DOUBLE AS cost, [s] AS path FROM ends_ UNION ALL SELECT s, t, target, cost + c, list_append(path, target) FROM trip JOIN arcs_ ON source = at WHERE at <> t AND cost + c <= 900 AND NOT list_contains(path, target)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY round(cost, 6), path) AS rank FROM trip WHERE at = t AND len(path) > 1)"""
+_PATHS = """arcs_ AS (SELECT source, target, min(cost_s::DOUBLE) AS c FROM open_edges WHERE source <> target GROUP BY ALL), ends_ AS (SELECT DISTINCT a.source AS s, b.target AS t FROM open_edges a JOIN open_edges b ON a.target = b.source WHERE a.source % 100 = 0 AND b.target <> a.source),
+trip AS (SELECT s, t, s AS here, 0::DOUBLE AS cost, [s] AS path FROM ends_ UNION ALL SELECT s, t, target, cost + c, list_append(path, target) FROM trip JOIN arcs_ ON source = here WHERE here <> t AND cost + c <= 900 AND NOT list_contains(path, target)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY round(cost, 6), path) AS rank FROM trip WHERE here = t AND len(path) > 1)"""
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    return _hundredths(spark, sf_dir).select(F.col("node_id").alias("origin"), (F.col("node_id") + 1).alias("destination"))
+    """Each origin with the nodes two edges on."""
+    e = net(spark, sf_dir).open_edges("driving").select("source", "target")
+    on = e.select(F.col("source").alias("target"), F.col("target").alias("destination"))
+    return e.where("source % 100 = 0").join(on, "target").select(F.col("source").alias("origin"), "destination").where("origin <> destination")
 
 
 @query(on_network("SELECT s AS origin, t AS destination, round(cost, 0) AS cost, list_aggregate(path, 'string_agg', ',') AS path FROM ranked WHERE rank = 1", more=_PATHS, recursive=True))
 def g3_routes(spark, sf_dir):
-    """The cheapest path from each origin to the node after it, within 15 minutes."""
+    """The cheapest path from each origin to the nodes two edges on, within 15 minutes."""
     x = routing.paths(net(spark, sf_dir).open_edges("driving"), _pairs(spark, sf_dir), 60.0 * MINUTES)
     return rounded(x.select("origin", "destination", "cost", *listed("path")), cost=0)
 
@@ -241,9 +244,9 @@ def h3_locate_names(spark, sf_dir):
     return tables.locate_names(net(spark, sf_dir).edges("driving"), asked)
 
 
-@query(on_network("SELECT name, round(sum(length_m::DOUBLE) / 1000, 2) AS km FROM edges WHERE name IS NOT NULL AND NOT is_reverse GROUP BY 1 ORDER BY km DESC, name LIMIT 10"))
+@query(on_network("SELECT name, round(sum(length_m::DOUBLE) / 1000, 3) AS km FROM edges WHERE name IS NOT NULL AND NOT is_reverse GROUP BY 1 ORDER BY km DESC, name LIMIT 10"))
 def o2_longest_roads(spark, sf_dir):
-    return rounded(tables.longest(net(spark, sf_dir).edges("driving")), km=2)
+    return tables.longest(net(spark, sf_dir).edges("driving"))
 
 
 @query(on_network("SELECT node_id, sum(one)::BIGINT AS n FROM (SELECT source AS node_id, 1 AS one FROM edges UNION ALL SELECT target, 0 FROM edges) GROUP BY 1"))

@@ -1,4 +1,6 @@
-from roadloom.functions.hashing import hash_longs
+import duckdb
+
+from roadloom.functions.hashing import joined_hash, with_hash
 from roadloom.operators.analysis import missing_runs
 from roadloom.operators.components import components
 from roadloom.operators.network import cost_seconds, edge_graph, global_junctions
@@ -26,8 +28,10 @@ def test_against_the_drawing(spark):
 
 
 def test_hash_vectors(spark):
-    x = spark.createDataFrame([(1, 2, 3), (123456789, 987654321, -555)], "a long, b long, c long").select(hash_longs("a", "b", "c").alias("h"))
+    x = with_hash(spark.createDataFrame([(1, 2, 3), (123456789, 987654321, -555)], "a long, b long, c long"), ("a", "b", "c"), "h")
     assert [r.h % 2**64 for r in x.collect()] == [12722334483198565868, 11030431678157071902]
+    texts = ["[1, 2, 3]", "", "abcdefgh", "[-5, 123456789, 7]"]
+    assert [joined_hash(7, -9, t) for t in texts] == [duckdb.sql(f"select hash(7::BIGINT, (-9)::BIGINT, '{t}')").fetchall()[0][0] for t in texts]
 
 
 def test_junctions(spark):

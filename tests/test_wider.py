@@ -8,7 +8,7 @@ from roadloom.operators import clip, multimodal, snap, splits, tables
 from roadloom.sources import readers, writers
 from roadloom.streaming.bins import time_bins
 
-ARC = "osm_id long, source long, target long, oneway boolean, refs array<long>, geometry array<struct<lon:double,lat:double>>, length_m float"
+ARC = "osm_id long, place int, source long, target long, twin boolean, refs array<long>, geometry array<struct<lon:double,lat:double>>, length_m float"
 
 
 def test_halves_meet_in_the_middle(spark):
@@ -21,8 +21,8 @@ def test_halves_meet_in_the_middle(spark):
 def test_arcs_become_unique(spark):
     flat = lambda *xs: [(float(x), 0.0) for x in xs]
     rows = [
-        (1, 1, 2, False, [1, 5, 2], flat(0, 1, 2), 10.0), (1, 1, 2, False, [1, 6, 2], flat(0, 3, 2), 20.0),
-        (1, 2, 1, False, [2, 7, 1], flat(2, 5, 0), 30.0), (1, 1, 1, False, [1, 8, 9, 1], flat(0, 1, 2, 0), 40.0),
+        (1, 1, 1, 2, True, [1, 5, 2], flat(0, 1, 2), 10.0), (1, 1, 1, 2, True, [1, 6, 2], flat(0, 3, 2), 20.0),
+        (1, 1, 2, 1, True, [2, 7, 1], flat(2, 5, 0), 30.0), (1, 1, 1, 1, True, [1, 8, 9, 1], flat(0, 1, 2, 0), 40.0),
     ]
     arcs = spark.createDataFrame(rows, ARC)
     out = splits.split_all(arcs).collect()
