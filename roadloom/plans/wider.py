@@ -68,7 +68,8 @@ def n13_walking_edges(spark, sf_dir):
 with_tags AS (SELECT e.*, coalesce(CASE WHEN is_reverse THEN "cycleway:left" ELSE "cycleway:right" END, cycleway) AS side, segregated, w IS NOT NULL AND e.highway IN ('footway', 'pedestrian') AND coalesce(bicycle, '') NOT IN ('yes', 'designated', 'permissive') AS pushed
   FROM all_edges e LEFT JOIN (SELECT osm_id AS w, cycleway, "cycleway:left", "cycleway:right", segregated, bicycle FROM raw_ways) ON w = osm_id),
 pushed_ends AS (SELECT DISTINCT highway AS like_, unnest([source, target]) AS node FROM with_tags WHERE pushed),
-walked AS (SELECT *, pushed OR (osm_id < 0 AND highway IN ('footway', 'pedestrian') AND EXISTS (SELECT 1 FROM pushed_ends p WHERE p.like_ = t.highway AND p.node IN (t.source, t.target))) AS dismount FROM with_tags t)"""))
+stub_ends AS (SELECT edge_id, highway, unnest([source, target]) AS node FROM with_tags WHERE osm_id < 0 AND highway IN ('footway', 'pedestrian')),
+walked AS (SELECT *, pushed OR edge_id IN (SELECT s.edge_id FROM stub_ends s JOIN pushed_ends p ON p.like_ = s.highway AND p.node = s.node) AS dismount FROM with_tags)"""))
 def n14_cycling_edges(spark, sf_dir):
     """Cycling edges with their kind, where a bicycle is pushed, and the cost of it."""
     return rounded(net(spark, sf_dir).typed_edges("cycling").select("edge_id", "osm_id", "dismount", "cost_s", "cycle_type"), cost_s=0)
