@@ -121,10 +121,10 @@ def n4_segments(spark, sf_dir):
     return network.segments(n.ways("cycling"), n.raw_nodes(), n.junctions()).select("osm_id", "seq", "source", "target", F.size("refs").alias("n_refs"))
 
 
-@query(on_network("SELECT DISTINCT node_id, round(x, 7) AS lon, round(y, 7) AS lat FROM (SELECT unnest([source, target]) AS node_id, unnest([xs[1], xs[-1]]) AS x, unnest([ys[1], ys[-1]]) AS y FROM edges)"))
+@query(on_network("SELECT DISTINCT node_id, round(x, 10) AS lon, round(y, 10) AS lat FROM (SELECT unnest([source, target]) AS node_id, unnest([xs[1], xs[-1]]) AS x, unnest([ys[1], ys[-1]]) AS y FROM edges)"))
 def n9_driving_nodes(spark, sf_dir):
     """Ends of edges, virtual nodes included."""
-    return rounded(net(spark, sf_dir).nodes("driving"), lon=7, lat=7)
+    return rounded(net(spark, sf_dir).nodes("driving"), lon=10, lat=10)
 
 
 @query(on_network("SELECT osm_id, count(*) AS n_arcs, round(sum(length_m::DOUBLE), 0) AS length_m, count(*) FILTER (WHERE source < 0 OR target < 0) AS n_halves FROM s3 GROUP BY 1", "walking"))

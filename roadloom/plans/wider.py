@@ -83,10 +83,10 @@ def y3_links(spark, sf_dir):
     return rounded(planning.link(net(spark, sf_dir).open_edges("driving")), length=1, free_speed=3)
 
 
-@query(on_network("SELECT node_id, round(x, 7) AS x_coord, round(y, 7) AS y_coord, CASE WHEN n >= 3 THEN 'intersection' WHEN n = 1 THEN 'dead_end' END AS node_type FROM (SELECT node_id, count(DISTINCT other) AS n, any_value(x) AS x, any_value(y) AS y FROM (SELECT source AS node_id, target AS other, lon1 AS x, lat1 AS y FROM open_edges UNION ALL SELECT target, source, lon2, lat2 FROM open_edges) GROUP BY 1)"))
+@query(on_network("SELECT node_id, round(x, 10) AS x_coord, round(y, 10) AS y_coord, CASE WHEN n >= 3 THEN 'intersection' WHEN n = 1 THEN 'dead_end' END AS node_type FROM (SELECT node_id, count(DISTINCT other) AS n, any_value(x) AS x, any_value(y) AS y FROM (SELECT source AS node_id, target AS other, lon1 AS x, lat1 AS y FROM open_edges UNION ALL SELECT target, source, lon2, lat2 FROM open_edges) GROUP BY 1)"))
 def y2_nodes(spark, sf_dir):
     n = net(spark, sf_dir)
-    return rounded(planning.node(planning.link(n.open_edges("driving")), n.nodes("driving").withColumnRenamed("node_id", "osm_id")), x_coord=7, y_coord=7)
+    return rounded(planning.node(planning.link(n.open_edges("driving")), n.nodes("driving").withColumnRenamed("node_id", "osm_id")), x_coord=10, y_coord=10)
 
 
 def _head_sql(i: str, j: str, at: str) -> str:
