@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators.components import components
 from roadloom.llm.golay import LENGTH, codeword_indices
-from roadloom.staging import python_ready, staged, within_bound
+from roadloom.staging import grown, python_ready, staged, within_bound
 
 SHINGLE = 3
 SEED = 42
@@ -141,7 +141,7 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     """(a, b): enough of the pairs of distinct fingerprints (fp long) that differ in at most 3 bits to connect all such pairs."""
     keyed = fps.select("fp").mapInArrow(_keyed, "key int, fp long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    rows = keyed.join(counts, keyed["key"] == counts["k"]).select("key", "fp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = grown(keyed).join(counts, keyed["key"] == counts["k"]).select("key", "fp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
