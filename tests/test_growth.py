@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
+from roadloom.plans import wider
 
 
 def plan(df):
@@ -13,3 +14,12 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     """Each fingerprint has dozens of keys, which the planner does not see."""
     found = plan(simhash.near_pairs(spark.range(100).select(F.col("id").alias("fp"))))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+def test_farthest_is_rounded_once(spark, monkeypatch):
+    class Net:
+        def open_edges(self, mode):
+            return spark.createDataFrame([(100, 1, 10.4996), (1, 2, 0.0), (200, 1, 10.5)], "source long, target long, cost_s double")
+
+    monkeypatch.setattr(wider, "net", lambda *_: Net())
+    assert {tuple(r) for r in wider.g8_accessibility(spark, "").collect()} == {(100, 2, 10.0), (200, 2, 11.0)}
