@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
-from roadloom.plans import wider
+from roadloom.operators import analysis, network
+from roadloom.plans import fixture, wider
 
 
 def plan(df):
@@ -23,3 +24,15 @@ def test_farthest_is_rounded_once(spark, monkeypatch):
 
     monkeypatch.setattr(wider, "net", lambda *_: Net())
     assert {tuple(r) for r in wider.g8_accessibility(spark, "").collect()} == {(100, 2, 10.0), (200, 2, 11.0)}
+
+
+def test_nodes_and_references_are_not_broadcast(spark, tmp_path):
+    """A part gives twelve nodes, a way as many references as it has."""
+    spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("SMALL TIN").alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    nodes = fixture.raw_nodes(spark, str(tmp_path))
+    edges = spark.createDataFrame([(k, 16 * k, 16 * k + 17, 1.0) for k in range(40)], "edge_id long, source long, target long, cost_s double")
+    checks = analysis.checks(edges, nodes)
+    assert "Broadcast" not in plan(checks) and {tuple(r) for r in checks.collect()} == {("unique_edge_id", 0, 40), ("ends_exist", 0, 80), ("positive_cost", 0, 40)}
+    ways = spark.createDataFrame([(1, "primary", False, [16, 32, 48])], "osm_id long, highway string, against boolean, refs array<long>")
+    line = next(x for x in plan(network.segments(ways, nodes)).splitlines() if "Join" in x and "node_id" in x)
+    assert "SortMergeJoin" in line
