@@ -1,5 +1,8 @@
 """Tables that grow within a plan, and the searches that hold at size."""
 
+import random
+from math import asin, cos, radians, sin, sqrt
+
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
@@ -36,3 +39,19 @@ def test_nodes_and_references_are_not_broadcast(spark, tmp_path):
     ways = spark.createDataFrame([(1, "primary", False, [16, 32, 48])], "osm_id long, highway string, against boolean, refs array<long>")
     line = next(x for x in plan(network.segments(ways, nodes)).splitlines() if "Join" in x and "node_id" in x)
     assert "SortMergeJoin" in line
+
+
+def test_nearest_does_not_broadcast_nodes(spark, tmp_path, monkeypatch):
+    """All points on nodes at random, in cells of any size, and no broadcast of nodes that parts have been exploded to."""
+    seen, keep = [], analysis.staged
+    monkeypatch.setattr(analysis, "staged", lambda df, name: seen.append(plan(df)) or keep(df, name))
+    spark.range(30).select(F.col("id").alias("p_partkey"), F.lit("SMALL TIN").alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    nodes = fixture.raw_nodes(spark, str(tmp_path))
+    rng = random.Random(8)
+    points = [(k, 7 + rng.random() * 0.04 * 40 ** (k % 3), 43 + rng.random() * 0.004 * 40 ** (k % 3)) for k in range(40)]
+    got = {r.point_id: (r.node_id, r.distance_m) for r in analysis.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), nodes).collect()}
+    assert seen and not any("Broadcast" in p for p in seen)
+    at = [(r.osm_id, r.lon, r.lat) for r in nodes.collect()]
+    for k, x, y in points:
+        away = {n: 12742000.0 * asin(sqrt(sin(radians(b - y) / 2) ** 2 + cos(radians(y)) * cos(radians(b)) * sin(radians(a - x) / 2) ** 2)) for n, a, b in at}
+        assert abs(away[got[k][0]] - min(away.values())) < 0.002 and abs(got[k][1] - min(away.values())) < 0.002
