@@ -1,12 +1,14 @@
 """Tables that grow within a plan, and the searches that hold at size."""
 
 import random
+import time
 from math import asin, cos, radians, sin, sqrt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
-from roadloom.operators import analysis, network
+from roadloom.operators import analysis, components, network
 from roadloom.plans import fixture, wider
 
 
@@ -55,3 +57,34 @@ def test_nearest_does_not_broadcast_nodes(spark, tmp_path, monkeypatch):
     for k, x, y in points:
         away = {n: 12742000.0 * asin(sqrt(sin(radians(b - y) / 2) ** 2 + cos(radians(y)) * cos(radians(b)) * sin(radians(a - x) / 2) ** 2)) for n, a, b in at}
         assert abs(away[got[k][0]] - min(away.values())) < 0.002 and abs(got[k][1] - min(away.values())) < 0.002
+
+
+def arcs_at_random(rng, ends, n):
+    arcs = {(rng.randrange(ends), rng.randrange(ends)) for _ in range(n)}
+    reach = {u: {u} for u in {x for a in arcs for x in a}}
+    for _ in range(ends):
+        for u, v in arcs:
+            for seen in reach.values():
+                if u in seen:
+                    seen.add(v)
+    return sorted(arcs), reach
+
+
+def test_components_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(components, "RANGE", 5)
+    rng = random.Random(4)
+    for n in (40, 60):
+        arcs, _ = arcs_at_random(rng, 60, n)
+        edges = spark.createDataFrame(arcs, "a long, b long")
+        assert {tuple(r) for r in components.components(edges, True).collect()} == {tuple(r) for r in components.components(edges).collect()}
+
+
+def test_small_components_are_searched_together(spark, monkeypatch):
+    """Many components in one step of a task, none cut, and no walk along the stack for each."""
+    t = pa.table({"root": [1, 1, 2, 2, 2, 3, 4], "source": range(7)})
+    assert [x.column("root").to_pylist() for x in analysis.whole_groups(iter(t.to_batches(2)), 3)] == [[1, 1], [2, 2, 2], [3, 4]]
+    n = 200_000
+    began = time.process_time()
+    assert analysis.strong_groups({k: [k + 1] for k in range(n)} | {n: []}) == [[k] for k in range(n, -1, -1)]
+    assert time.process_time() - began < 20
+    assert "FlatMapGroupsInPandas" not in plan(analysis.in_whole_groups(spark.createDataFrame([(1, 2, 3)], "root long, source long, target long"), analysis._strong, "node_id long, component long"))
