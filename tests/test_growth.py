@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
-from roadloom.operators import analysis, components, network
+from roadloom.operators import analysis, components, network, routing
 from roadloom.plans import fixture, wider
 
 
@@ -88,3 +88,15 @@ def test_small_components_are_searched_together(spark, monkeypatch):
     assert analysis.strong_groups({k: [k + 1] for k in range(n)} | {n: []}) == [[k] for k in range(n, -1, -1)]
     assert time.process_time() - began < 20
     assert "FlatMapGroupsInPandas" not in plan(analysis.in_whole_groups(spark.createDataFrame([(1, 2, 3)], "root long, source long, target long"), analysis._strong, "node_id long, component long"))
+
+
+def test_has_path_answers_pairs(spark, monkeypatch):
+    """All pairs, those of loops and of unknown ends too, by tasks and by rounds; by tasks nothing is searched from each origin."""
+    monkeypatch.setattr(routing, "BITS_AT_ONCE", 1)
+    arcs, reach = arcs_at_random(random.Random(7), 80, 75)
+    pairs = [(u, v) for u in range(0, 82) for v in range(81, -1, -1)]
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names))
+    want = {(u, v, u == v or v in reach.get(u, ())) for u, v in pairs}
+    assert {tuple(r) for r in routing.has_path(frame(arcs, ("source", "target")), frame(pairs, ("origin", "destination")), 4).collect()} == want
+    monkeypatch.setattr(routing, "reach", None)
+    assert {tuple(r) for r in routing.has_path(frame(arcs, ("source", "target")), frame(pairs, ("origin", "destination"))).collect()} == want
