@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import project
+from roadloom.staging import grown
 
 CELL = 0.001  # degrees
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+def _cells(low: Column, high: Column, cell: float, least: Column | None = None, most: Column | None = None) -> Column:
+    """Numbers of the cells from one value to another, those from ``least`` to ``most`` only; null if there is none."""
+    a, b = F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long")
+    if least is not None:
+        a, b = F.greatest(a, least), F.least(b, most)
+    return F.when(a <= b, F.sequence(a, b))
 
 
 def snap(points: DataFrame, edges: DataFrame, radius_m: float = 50.0, cell: float = CELL) -> DataFrame:
     """point_id, edge_id, share, distance_m, snap_x, snap_y of the nearest edge within the radius; ties go to the smaller edge id.
 
     Edges are dealt by segment to the grid cells that the segment touches, column by column, not to those of its whole box;
-    points to the cells around them, so both meet in an equi-join. ``share`` is along the segment; ``part`` numbers it;
+    points to the cells around them, so both meet in an equi-join. Cells outside the points' box are not made. ``share`` is along the segment; ``part`` numbers it;
     ``fraction`` is along the edge, by planar length.
     """
     pad = radius_m / 110_000.0
@@ -28,18 +33,20 @@ def snap(points: DataFrame, edges: DataFrame, radius_m: float = 50.0, cell: floa
     s = e.select("edge_id", "lengths", F.posexplode("steps").alias("part", "s")).select("edge_id", "part", "s.a", "s.b", "lengths")
     before = F.aggregate(F.slice("lengths", F.lit(1), F.col("part")), F.lit(0.0), lambda t, x: t + x)
     s = s.withColumns({"before": before, "whole": F.aggregate("lengths", F.lit(0.0), lambda t, x: t + x), "own": F.get("lengths", F.col("part"))}).drop("lengths")
+    wide = pad / F.cos(F.radians("y"))
+    p = points.select("point_id", "x", "y").withColumn("cx", F.explode(_cells(F.col("x") - wide, F.col("x") + wide, cell)))
+    p = p.withColumn("cy", F.explode(_cells(F.col("y") - pad, F.col("y") + pad, cell)))
+    box = p.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
+    s = s.crossJoin(F.broadcast(box))  # one row
     both = lambda f, c: f(F.col("a")[c], F.col("b")[c])
-    s = s.withColumn("cx", F.explode(_cells(both(F.least, "lon"), both(F.greatest, "lon"), cell)))
+    s = s.withColumn("cx", F.explode(_cells(both(F.least, "lon"), both(F.greatest, "lon"), cell, F.col("x0"), F.col("x1"))))
     # the segment's latitudes within the column
     run = F.col("b.lon") - F.col("a.lon")
     at = lambda x: F.col("a.lat") + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("a.lon")) / run)) * (F.col("b.lat") - F.col("a.lat"))
     west, east = at(F.col("cx") * cell), at((F.col("cx") + 1) * cell)
     low, high = F.when(run == 0, both(F.least, "lat")).otherwise(F.least(west, east)), F.when(run == 0, both(F.greatest, "lat")).otherwise(F.greatest(west, east))
-    s = s.withColumn("cy", F.explode(_cells(low - 1e-9, high + 1e-9, cell)))
-    wide = pad / F.cos(F.radians("y"))
-    p = points.select("point_id", "x", "y").withColumn("cx", F.explode(_cells(F.col("x") - wide, F.col("x") + wide, cell)))
-    p = p.withColumn("cy", F.explode(_cells(F.col("y") - pad, F.col("y") + pad, cell)))
-    near = p.join(s, ["cx", "cy"]).withColumn("q", project(F.col("x"), F.col("y"), F.col("a"), F.col("b"))).where(F.col("q.distance_m") <= radius_m)
+    s = s.withColumn("cy", F.explode(_cells(low - 1e-9, high + 1e-9, cell, F.col("y0"), F.col("y1")))).drop("x0", "x1", "y0", "y1")
+    near = grown(p).join(s, ["cx", "cy"]).withColumn("q", project(F.col("x"), F.col("y"), F.col("a"), F.col("b"))).where(F.col("q.distance_m") <= radius_m)
     fraction = F.when(F.col("whole") > 0, (F.col("before") + F.col("q.share") * F.col("own")) / F.col("whole")).otherwise(0.0)
     best = near.groupBy("point_id").agg(F.min(F.struct(F.round("q.distance_m", 3).alias("d"), "edge_id", "part", "q", fraction.alias("fraction"))).alias("m"))
     return best.select("point_id", "m.edge_id", "m.part", F.col("m.q.share").alias("share"), F.col("m.fraction").alias("fraction"), F.col("m.d").alias("distance_m"), F.col("m.q.lon").alias("snap_x"), F.col("m.q.lat").alias("snap_y"))

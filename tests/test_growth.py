@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roadloom.llm import simhash
-from roadloom.operators import analysis, components, network, routing
+from roadloom.operators import analysis, components, network, routing, snap
 from roadloom.plans import fixture, wider
 
 
@@ -100,3 +100,10 @@ def test_has_path_answers_pairs(spark, monkeypatch):
     assert {tuple(r) for r in routing.has_path(frame(arcs, ("source", "target")), frame(pairs, ("origin", "destination")), 4).collect()} == want
     monkeypatch.setattr(routing, "reach", None)
     assert {tuple(r) for r in routing.has_path(frame(arcs, ("source", "target")), frame(pairs, ("origin", "destination"))).collect()} == want
+
+
+def test_snap_makes_no_cells_without_points(spark):
+    """A segment over more cells than an array holds, nearly all outside the box of the points."""
+    edges = spark.createDataFrame([(5, [(7.0, 0.0), (7.0, 60.0)])], "edge_id long, geometry array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(1, 7.0, 43.0), (2, 8.0, 43.0)], "point_id long, x double, y double")
+    assert [(r.point_id, r.edge_id, r.distance_m) for r in snap.snap(points, edges, 0.01, 1e-8).collect()] == [(1, 5, 0.0)]
