@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from roadloom.operators.components import components
 from roadloom.llm.golay import LENGTH, codeword_indices
-from roadloom.staging import grown, python_ready, staged, within_bound
+from roadloom.staging import bounded, grown, python_ready, staged
 
 SHINGLE = 3
 SEED = 42
@@ -157,16 +157,18 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = staged(rows, "fingerprints")
     classes = staged(x.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     comps = staged(components(near_pairs(classes)), "components")
-    linked_ = comps.join(classes, comps["node"] == classes["fp"]).select("node", "root", "rep")
-    linked_ = linked_.join(linked_.groupBy("root").agg(F.min("rep").alias("component")), "root").select(F.col("node").alias("named"), "root", "component")
-    lone = classes.where("n > 1").join(comps, classes["fp"] == comps["node"], "left_anti")
+    held = bounded(comps)
+    linked_ = staged(classes.join(held, classes["fp"] == held["node"]).select("node", "root", "rep"), "linked")
+    least = staged(linked_.groupBy("root").agg(F.min("rep").alias("component")), "least")
+    linked_ = linked_.join(bounded(least), "root").select(F.col("node").alias("named"), "root", "component")
+    lone = classes.where("n > 1").join(held, classes["fp"] == held["node"], "left_anti")
     return x, staged(linked_.unionByName(lone.select(F.col("fp").alias("named"), F.col("fp").alias("root"), F.col("rep").alias("component"))), "names")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp (long), component_id."""
     x, names = _named(docs)
-    out = x.join(names, x["fp"] == names["named"], "left")
+    out = x.join(bounded(names), x["fp"] == names["named"], "left")
     return out.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -181,9 +183,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     they are few, by their count, and else the texts are shuffled once.
     """
     x, names = _named(docs)
-    y = staged(x.join(names, x["fp"] == names["named"]).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h").alias("me")), "members")
-    first = y.groupBy("root").agg(F.min("me").alias("first"), F.count("*").alias("n"))
-    y = y.join(first, "root")
+    y = staged(x.join(bounded(names), x["fp"] == names["named"]).select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h").alias("me")), "members")
+    first = staged(y.groupBy("root").agg(F.min("me").alias("first")), "first")
+    y = y.join(bounded(first), "root")
     gone = y.where("me <> first").select(F.col("me.doc_id").alias("gone_id"), F.col("me.h").alias("gone_h")).distinct()
     again = y.where("me = first").groupBy("root", "me").count().where("count > 1").select(F.col("me.doc_id").alias("gone_id"), F.col("me.h").alias("gone_h"))
     gone, again = staged(gone, "gone"), staged(again, "again")
@@ -191,9 +193,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def same(t: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(t["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(t["gone_h"])
 
-    few = F.broadcast(gone) if within_bound(gone) else gone
+    few = bounded(gone)
     out = docs.join(few, same(few), "left_anti")
     if again.isEmpty():
         return out
+    again = bounded(again)
     more = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
     return out.join(again, same(again), "left_anti").unionByName(more)

@@ -7,6 +7,7 @@ from math import asin, cos, radians, sin, sqrt
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from roadloom import staging
 from roadloom.llm import simhash
 from roadloom.operators import analysis, components, network, routing, snap
 from roadloom.plans import fixture, wider
@@ -22,6 +23,27 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     assert "SortMergeJoin" in found and "Broadcast" not in found
 
 
+def test_links_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    """Nothing that grows with the fingerprints, links or names goes through the driver, whatever the planner takes it for."""
+    docs = [(k, f"{w} {k // 3} two three") for k, w in enumerate(["one", "one", "1"] * 3)] + [(None, "one 0 two three"), (0, "one 0 two three")]
+    fps, names = [simhash.fingerprint(t) for _, t in docs], [k for k, _ in docs]
+    for _ in docs:
+        names = [min(n for n, g in zip(names, fps, strict=True) if n is not None and (f ^ g).bit_count() <= 3) for f in fps]
+    seen, keep = [], staging.staged
+    monkeypatch.setattr(staging, "within_bound", lambda *_: False)
+    monkeypatch.setattr(components, "within_bound", lambda *_: False, raising=False)
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "staged", lambda df, name: seen.append(plan(df)) or keep(df, name))
+    rows = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in rows.collect()))) == sorted(map(str, zip((k for k, _ in docs), names, strict=True)))
+    links = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 8], "a long, b long")
+    monkeypatch.setattr(components, "BLOCK", 7)
+    found = components.components(links)
+    assert {tuple(r) for r in found.collect()} == {(k, max(1, (k - 1) // 8 * 8 + 1)) for k in range(1, 31)}
+    seen += [plan(rows), plan(found)]
+    assert sum("SortMergeJoin" in p for p in seen) > 5 and not any("Broadcast" in p for p in seen)
+
+
 def test_farthest_is_rounded_once(spark, monkeypatch):
     class Net:
         def open_edges(self, mode):
