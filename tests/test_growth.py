@@ -4,13 +4,15 @@ import random
 import time
 from math import asin, cos, radians, sin, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roadloom import staging
 from roadloom.llm import simhash
 from roadloom.operators import analysis, components, network, routing, snap
-from roadloom.plans import fixture, wider
+from roadloom.api import Network
+from roadloom.plans import catalog, fixture, wider
 
 
 def plan(df):
@@ -129,3 +131,42 @@ def test_snap_makes_no_cells_without_points(spark):
     edges = spark.createDataFrame([(5, [(7.0, 0.0), (7.0, 60.0)])], "edge_id long, geometry array<struct<lon:double,lat:double>>")
     points = spark.createDataFrame([(1, 7.0, 43.0), (2, 8.0, 43.0)], "point_id long, x double, y double")
     assert [(r.point_id, r.edge_id, r.distance_m) for r in snap.snap(points, edges, 0.01, 1e-8).collect()] == [(1, 5, 0.0)]
+
+
+def test_snap_compares_few_pairs(spark, monkeypatch):
+    """Many points and segments in one cell, and cells in pieces: the same as all pairs, of which few are compared."""
+    rng = np.random.default_rng(6)
+    x, y = 7 + rng.random(4_000) / 1000, 43 + rng.random(4_000) / 1000
+    ends = [7 + rng.random(2_000) / 1000, 43 + rng.random(2_000) / 1000, 7 + rng.random(2_000) / 1000, 43 + rng.random(2_000) / 1000]
+    n, plain = [0], snap._distances
+    monkeypatch.setattr(snap, "_distances", lambda x, y, s: n.append(len(x) * len(s[0])) or plain(x, y, s))
+    i, j = snap.nearest_pairs(x, y, ends, 50.0)
+    assert sum(n) < 4_000 * 2_000 / 4
+    every = plain(x, y, ends)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(int(a), int(b)) for a, b in zip(*np.nonzero(every <= every.min(axis=1)[:, None] + snap.SLACK), strict=True)}
+    monkeypatch.setattr(snap, "PIECE", 10)
+    points = spark.createDataFrame([(k, float(x[k]), float(y[k])) for k in range(50)], "point_id long, x double, y double")
+    lines = spark.createDataFrame([(k, [(float(ends[0][k]), float(ends[1][k])), (float(ends[2][k]), float(ends[3][k]))]) for k in range(60)], "edge_id long, geometry array<struct<lon:double,lat:double>>")
+    got = {r.point_id: (r.distance_m, r.edge_id) for r in snap.snap(points, lines).collect()}
+    d = every[:50, :60]
+    assert got == {k: min((round(float(v), 3), e) for e, v in enumerate(d[k])) for k in range(50) if d[k].min() <= 50}
+
+
+def test_parts_of_a_network_are_as_in_the_whole(spark):
+    """Edges of some ways, and those around a box, with loops and parallel arcs; the questions build no more."""
+    catalog._networks.clear()
+    small = "/root/testdata/sf0.001"
+    for name in ("g13_strong_components", "g12_has_path", "m1_snap"):
+        catalog.QUERIES[name](spark, small).count()
+        assert not catalog.net(spark, small).has("driving_edges")
+    make = lambda: Network(fixture.raw_nodes(spark, small), fixture.tagged_ways(spark, small))
+    part, whole = make(), make().edges("driving")
+    some = "highway = 'residential' or size(array_distinct(refs)) < size(refs)"
+    rows = lambda e, where: sorted(map(str, e.where(where).collect()))
+    assert rows(part.edges_with("driving", some), "highway = 'residential' or source < 0") == rows(whole, "highway = 'residential' or source < 0") != []
+    box = (7.02, 43.0, 7.03, 43.0001)
+    meets = "array_min(geometry.lon) <= 7.03 and array_max(geometry.lon) >= 7.02 and array_min(geometry.lat) <= 43.0001"
+    near = part.edges_around("driving", box)
+    assert rows(near, meets) == rows(whole, meets) != [] and near.count() < whole.count()
+    tags = {r.osm_id: {k: v for k, v in r.asDict().items() if k.startswith("tag:") and v is not None} for r in part.tagged_ways().collect()}
+    assert tags == {r.osm_id: {f"tag:{k}": v for k, v in r.tags.items() if f"tag:{k}" in part.tagged_ways().columns} for r in fixture.raw_ways(spark, small).collect()}
